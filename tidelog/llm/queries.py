@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidelog.llm import byte_bpe, exact_dedup, language_id, license_scan
+from tidelog.llm import byte_bpe, exact_dedup, language_id, license_scan, minhash_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_language_id": language_id.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_minhash_dedup": minhash_dedup.query,
+    "op7_packing": packing.query,
+    "op8_token_files": token_files.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE = {"op4_exact_dedup": exact_dedup.SQL}
