@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import byte_bpe, exact_dedup, language_id, license_scan, minhash_dedup, packing, quality, token_files
+from tidelog.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_language_id": language_id.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_embedding_dedup": embedding_dedup.query,
     "op6_minhash_dedup": minhash_dedup.query,
     "op7_packing": packing.query,
     "op8_token_files": token_files.query,
