@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.tables import cut
+
 
 def joined(members: DataFrame, requests: DataFrame) -> DataFrame:
     """Members after join requests (group_id, reader_id, heartbeat_us): inserted if absent, else the heartbeat moves on."""
@@ -87,17 +89,17 @@ def poll_sequence(index: DataFrame, max_bytes: int) -> DataFrame:
     """topic_id, step, start_offset, end_offset: the leases of polls that follow each other from offset 0 to the end.
 
     Dispatch is a chain through the segments, followed by doubling: with the jumps over 2**k polls, the chain of the first 2**k
-    leases gives that of 2**(k+1). So there are log2(leases) joins of the index with itself instead of a step per lease.
+    leases gives that of 2**(k+1). So there are log2(leases) joins of the index with itself instead of a step per lease. Rounds are checkpointed: each uses the one before twice.
     """
-    g = grants(index, max_bytes).select("topic_id", "start_offset", "end_offset")
-    most = index.groupBy("topic_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    g = cut(grants(index, max_bytes).select("topic_id", "start_offset", "end_offset"))
+    most = g.groupBy("topic_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
     chain = g.where("start_offset = 0").select("topic_id", F.lit(0).cast("long").alias("step"), "start_offset")
     jump = g.select("topic_id", F.col("start_offset").alias("at"), F.col("end_offset").alias("to"))
     for k in range(max(0, int(most - 1)).bit_length()):
         far = chain.join(jump, (chain["topic_id"] == jump["topic_id"]) & (chain["start_offset"] == jump["at"])).select(chain["topic_id"], (F.col("step") + (1 << k)).alias("step"), F.col("to").alias("start_offset"))
-        chain = chain.unionByName(far)
+        chain = cut(chain.unionByName(far))
         a, b = jump.toDF("topic_id", "at", "mid"), jump.toDF("t", "mid2", "to")
-        jump = a.join(b, (F.col("topic_id") == F.col("t")) & (F.col("mid") == F.col("mid2"))).select("topic_id", "at", "to")
+        jump = cut(a.join(b, (F.col("topic_id") == F.col("t")) & (F.col("mid") == F.col("mid2"))).select("topic_id", "at", "to"))
     return chain.join(g, ["topic_id", "start_offset"]).select("topic_id", "step", "start_offset", "end_offset")
 
 

