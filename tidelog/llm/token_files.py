@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import work_dir, written
 from tidelog.llm.word_bpe import word_coder
 
-MAGIC, END, BLOCK, FILE_IDS = b"TLBP0001", 1, 65_536, 4_000_000
+MAGIC, END, BLOCK, FILE_IDS = b"TLBP0001", 1, 65_536, 1_000_000
 HEAD = struct.Struct("<8sIIQQ")
 
 

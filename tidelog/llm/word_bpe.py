@@ -2,9 +2,9 @@
 
 The file normalises (NFC, blanks, lower case), cuts a text into letter runs, single digits, contractions and runs of the rest,
 and drops blanks. Nothing on one side of an ASCII blank changes the ids of the other, so the ids of a text are those of its
-blank-separated parts in a row. Parts come back often; a worker keeps the ids of each as little-endian bytes. A new part
-that has only ASCII and Latin-1 letters is cut by the same rule here, and its words, which come back even more often, go to
-the library's BPE model one by one; any other part goes through the whole tokenizer.
+blank-separated parts in a row. A text of printable ASCII, ASCII blanks and Latin-1 letters is cut by the same rule here; its
+words come back often, so a worker keeps the ids of each as little-endian bytes, and new ones go to the library's BPE model one
+by one. In any other text the parts that have other characters go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from functools import cache
 
 import numpy as np
 
-#: Parts, and words, that a worker remembers; a memory is emptied beyond it.
-MEMORY = 300_000
+#: Words that a worker remembers (about 200 bytes each); the memory is emptied beyond it.
+MEMORY = 350_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(rf"[\x21-\x7e{LETTERS}]+").fullmatch
-CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+PLAIN = re.compile(rf"[\x09-\x0d\x20-\x7e{LETTERS}]*").fullmatch
+CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\x09-\x0d\x20{LETTERS}0-9]+").findall
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,7 +40,6 @@ class WordBPE:
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.letters = byte_letters()
-        self.parts: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
@@ -50,28 +49,16 @@ class WordBPE:
         got = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return got
 
-    def part(self, part: bytes) -> bytes:
-        text = part.decode()
-        if PLAIN(text):
-            words = self.words
-            return b"".join([words.get(w) or self.word(w) for w in CUT(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        split, parts = text.encode().split(), self.parts
-        try:
-            return b"".join(map(parts.__getitem__, split))
-        except KeyError:
-            out = []
-            for p in split:
-                got = parts.get(p)
-                if got is None:
-                    if len(parts) >= MEMORY:
-                        parts.clear()
-                    got = parts[p] = self.part(p)
-                out.append(got)
-            return b"".join(out)
+        if PLAIN(text):
+            get, new = self.words.get, self.word
+            return b"".join([get(w) or new(w) for w in CUT(text.lower())])
+        out = []
+        for part in text.encode().split():
+            part = part.decode()
+            out.append(self.ids(part) if PLAIN(part) else np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
 
 
 @cache
