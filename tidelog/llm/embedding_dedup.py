@@ -7,7 +7,8 @@ Vectors are compared within their label by cosine in double precision. Equal vec
    give a long code, one bit a dimension and rotation. Every vector is indexed, sampled or not.
 2. Multi-index Hamming tables: the code is cut into ``tables`` substrings. Vectors that agree on a substring meet in a
    bucket of that table; pairs within a Hamming distance under ``tables`` surely do, and at cosine 0.93 (about 12 % of the bits
-   differ) the others nearly always. Substrings have as many bits as it takes for buckets of about 8 at the average label.
+   differ) the others nearly always. Substrings have as many bits as it takes for buckets of about FILL at the
+   average label; labels no larger than that are one bucket, compared in full.
 3. A bucket is dealt into blocks; each pair of blocks is a cell, compared by one matrix product of the original vectors. A pair
    that meets in several tables counts in the first only, which both codes tell. A cell gives a count for each vector and the
    edges of a spanning forest of its links: rows grow with the vectors in it, not with their pairs.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import written
 from tidelog.llm.components import components
 
-THRESHOLD, TABLES, BLOCK, MAX_FIT, ITERATIONS, SEED = 0.93, 16, 256, 20_000, 30, 11
+THRESHOLD, TABLES, BLOCK, FILL, MAX_FIT, ITERATIONS, SEED = 0.93, 16, 256, 32, 20_000, 30, 11
 
 
 class ITQ:
@@ -133,16 +134,17 @@ def cell_rows(key: list[int], rep: np.ndarray, mult: np.ndarray, own: np.ndarray
 def links(reps: DataFrame, threshold: float, tables: int, block: int, max_fit: int) -> DataFrame:
     """(a, b null, n): n links of a; (a, b, 0): an edge. reps: label, v, rep, mult."""
     n, labels = reps.count(), reps.select("label").distinct().count()
-    size = min(16, max(4, round(math.log2(max(1, n / max(1, labels) / 8)))))
-    models = fitted(reps, lambda dim: -(-tables // (dim // min(size, dim))), max_fit) if n else {}
+    size = min(16, round(math.log2(max(1, n / max(1, labels) / FILL))))
+    rotations = lambda dim: -(-tables // (dim // min(size, dim)))
+    models = fitted(reps, rotations, max_fit) if size else {}
 
     def code(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                bits = min(size, dim)
-                rotations = -(-tables // (dim // bits))
-                model = models.get(dim) or ITQ(np.zeros((0, dim)), dim, rotations)
-                subs = substrings(model, unit(part["v"].tolist()), bits, tables)
+                subs = np.zeros((len(part), 1), np.int32)
+                if size:
+                    model = models.get(dim) or ITQ(np.zeros((0, dim)), dim, rotations(dim))
+                    subs = substrings(model, unit(part["v"].tolist()), min(size, dim), tables)
                 yield part.assign(dim=dim, subs=list(subs))
 
     coded = written(reps.mapInPandas(code, "label int, v array<double>, rep long, mult long, dim int, subs array<int>"))
