@@ -52,7 +52,6 @@ def features(text: str) -> list[float]:
     odd = len(SYMBOLS.findall(text))
     lengths = list(map(len, words))
     mean = sum(lengths) / w
-    sample = raw if len(raw) <= 65_536 else raw[:32_768] + raw[-32_768:]
     return [
         1.0,
         np.log1p(n),
@@ -72,7 +71,7 @@ def features(text: str) -> list[float]:
         1 - len(pairs) / max(1, w - 1),
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(w / max(1, len(lines))) / 5,
-        len(zlib.compress(sample, 1)) / len(sample),
+        len(zlib.compress(raw, 1)) / len(raw),
         sum(x[0].isupper() for x in words) / w,
     ]
 
