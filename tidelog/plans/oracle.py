@@ -104,7 +104,7 @@ SQL = {
         c AS (SELECT *, CASE WHEN schema_id = lag(schema_id) OVER (ORDER BY o) THEN 0 ELSE 1 END AS ch FROM b WHERE before < 16384), r AS (SELECT *, sum(ch) OVER (ORDER BY o) AS run_no FROM c)
         SELECT topic_id, CAST(run_no AS BIGINT) AS run_no, schema_id, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n, any_value(high_watermark) AS high_watermark FROM r JOIN hw USING (topic_id) GROUP BY topic_id, run_no, schema_id""",
     "tail_last_n": 'SELECT event_id, topic_id, "offset", key, value FROM rec ORDER BY event_id DESC LIMIT 100',
-    "tail_json": 'SELECT topic_id, "offset", key, value FROM rec WHERE "offset" < 50',
+    "tail_json": 'SELECT topic_id, "offset", key, value, value AS json_value FROM rec',
     "tail_decode_fallback": """SELECT topic_id, "offset", key, CASE WHEN event_id % 10 = 0 THEN 'x' || value ELSE value END AS value, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(value, '$.k') AS BIGINT) END AS k, event_id % 10 <> 0 AS decoded FROM rec""",
     "json_ingest": """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'REJECTED' ELSE 'OK' END AS status, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN -1 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
     "latest_schema_per_topic": "SELECT topic_id, schema_id FROM tschemas QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY created_us DESC, schema_id DESC) = 1",

@@ -167,7 +167,8 @@ def tail_last_n(m):
 
 @query
 def tail_json(m):
-    return m.records.select("topic_id", "offset", "key", "value").where("offset < 50")
+    """Every record as a row of the JSON tail: offset, key, value."""
+    return m.records.select("topic_id", "offset", "key", "value", F.get_json_object(F.to_json(F.struct("offset", "key", "value")), "$.value").alias("json_value"))
 
 
 @query
