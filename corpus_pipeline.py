@@ -3,7 +3,7 @@
 Every stage works on the whole output of the one before, which was written as Parquet and reread. The filtering stages return
 the columns of documents, whatever these are, and drop whole rows only:
 
-- language: texts without a letter, and those that resemble no language (cosine 0 or less with every prototype), go;
+- language: texts without a letter go; one in a language not learned stays, as no cosine tells it from a short clean text;
 - quality: texts with a score under 0.3 go;
 - exact: of equal texts the smallest doc_id stays; near: of each component of near copies the smallest doc_id stays.
 
@@ -27,7 +27,7 @@ from tidelog.llm.quality import quality
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3, learning from the rows that may be learned from."""
     found = language_id(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
-    rejected = written(found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") <= 0)).where("doc_id is not null").select("doc_id").distinct())
+    rejected = written(found.where((F.col("lang_pred") == UNKNOWN) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     return kept_rows(docs, "doc_id", rejected, "left_anti")
 
 
