@@ -281,6 +281,12 @@ def test_attention_gradients():
         assert math.isclose((up - down) / 2e-5, d[name][at], rel_tol=2e-2)
 
 
+def test_model_size_and_context():
+    model = attention_lm.Model(np.ones(300))
+    assert model.seen.sum(1).min() >= 25 and model.seen.sum(1).max() >= 48  # ids that a target sees
+    assert model.w["E"].shape[1] >= 24 and model.w["H"].shape[1] >= 32
+
+
 def test_windows_score_each_place_once():
     lengths = np.array([1, 24, 25, 48, 100])
     owner, first = attention_lm.windows_of(lengths)
