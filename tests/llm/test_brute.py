@@ -248,6 +248,25 @@ def test_lm_base_scores_and_model(spark, sf, docs):
         assert r["score"] < 0
 
 
+def test_lm_scores_mix_in_the_pairs_of_all_training_texts(spark, sf, docs):
+    coder, held = WordBPE(WORDS), {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
+    end = coder.vocabulary - 1
+    ids = {d: [i for w in t.encode().lower().split() for i in np.frombuffer(coder.ids(w.decode()), "<u4").tolist()] + [end] for d, t in docs.items()}
+    c = Counter(p for d, x in ids.items() if not held[d] for p in zip([end, *x], x))
+    n, t, one = Counter(), Counter(a for a, _ in c), Counter(i for d, x in ids.items() if not held[d] for i in x)
+    for (a, _), k in c.items():
+        n[a] += k
+    model = attention_lm.Model(np.array([one[i] for i in range(coder.vocabulary)], float))  # untrained
+    table = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    got = lm_scoring.lm_scores(table, WORDS, crc_mod("doc_id", 5) == 1, max_train=0).collect()
+    follow = lambda a, b: tuple(np.array(x, float) for x in zip(*((c[p], n[p[0]], max(1, t[p[0]])) for p in zip(a.tolist(), b.tolist()))))
+    assert len(got) == len(docs)
+    for r in got:
+        want = model.scores([np.array(ids[r["doc_id"]])], end, follow=follow)[0]
+        assert math.isclose(r["score"], want, rel_tol=1e-4) and r["score"] > model.scores([np.array(ids[r["doc_id"]])], end)[0]
+    assert math.isclose((10 ** model.scores([np.array([i]) for i in range(coder.vocabulary)], end, follow=follow)).sum(), 1, rel_tol=1e-3)
+
+
 def test_attention_model_is_causal_normalised_and_learns():
     rng = np.random.default_rng(2)
     counts = rng.integers(1, 50, 300)
