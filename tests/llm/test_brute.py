@@ -133,6 +133,16 @@ def test_near_dedup_in_a_large_group_without_a_centre(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_dedup(df).collect()} == near_classes(texts)
 
 
+def test_near_dedup_links_texts_that_differ_by_repeats(spark):
+    texts = {}
+    for k, (n, times) in enumerate([(200, 10), (500, 30), (200, 3), (300, 100)] * 5):
+        w = [f"w{k}-{i}" for i in range(n)]
+        texts |= {10 * k: " ".join(w), 10 * k + 1: " ".join(w[:50] * times + w), 10 * k + 2: " ".join(f"o{k}-{i}" for i in range(n)) + " " + " ".join(w[:50] * times)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = near_classes(texts)
+    assert len(set(want.values())) == 40 and {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_dedup(df).collect()} == want
+
+
 def test_signatures_estimate_the_probability_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -1,12 +1,13 @@
-"""MinHash near-dedup: ProbMinHash signatures of weighted word shingles, banding, exact verification, components.
+"""MinHash near-dedup: ProbMinHash signatures of shingle sets, banding, exact verification, components.
 
-A text's elements are its shingles of five words (A-Z lower-cased; all its words if fewer), weighted by their counts. Each
-element is a Poisson process whose rate is its weight: its arrivals come after exponential gaps and each falls on a random
-register; a register keeps the element that arrives first. Two texts agree on a register with the probability Jaccard of
-their weighted shingles. Arrivals are followed only up to a time by which all registers are likely filled, so most elements
-end after one draw; while a register is empty, that time doubles. Everything is a function of the element alone.
+A text's elements are its distinct shingles of five words (A-Z lower-cased; all its words if fewer). Each element is a Poisson
+process, of rate 1 however often the text repeats it: its arrivals come after exponential gaps and each falls on a random
+register; a register keeps the element that arrives first. Two texts agree on a register with the probability of the Jaccard of
+their shingle sets, the measure that links are verified by. Arrivals are followed only up to a time by which all registers are
+likely filled, so most elements end after one draw; while a register is empty, that time doubles. Everything is a function of
+the element alone.
 
-1. Texts with the same weighted shingles are one *class representative* (smallest id) plus members; only representatives go on.
+1. Texts with the same shingle set are one *class representative* (smallest id) plus members; only representatives go on.
 2. Signatures are cut into ``bands`` bands of ``rows`` registers: at similarity 0.8 a pair shares a bucket with probability
    1 - (1 - 0.8**4)**20 = 0.99997. Candidates come from buckets:
    a. of up to ``small`` members: all their pairs, a bounded number for each member;
@@ -53,17 +54,17 @@ class Hashes(dict):
         return got
 
 
-def shingles(text: str, hashes: Hashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct shingles of the text, and their counts."""
+def shingles(text: str, hashes: Hashes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of the text."""
     words = words_of(text)
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for j in range(size):
         out = mix64(out * GOLD + h[j : len(h) - size + 1 + j])
-    return np.unique(out, return_counts=True)
+    return np.unique(out)
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -101,16 +102,16 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
-    """doc_id, key (digest of the weighted shingles; null without words), sig."""
+    """doc_id, key (digest of the shingle set; null without words), sig."""
 
     def make():
         hashes = Hashes()
 
         def work(ids, texts):
             got = [shingles(t, hashes) for t in texts]
-            sizes = [len(e) for e, _ in got]
-            sigs = signatures(np.concatenate([e for e, _ in got]), np.concatenate([c for _, c in got]).astype(np.float64), np.repeat(np.arange(len(got)), sizes), len(got), m)
-            keys = [hashlib.blake2b(e.tobytes() + c.tobytes(), digest_size=16).digest() if len(e) else None for e, c in got]
+            sizes = [len(e) for e in got]
+            sigs = signatures(np.concatenate(got), np.ones(sum(sizes)), np.repeat(np.arange(len(got)), sizes), len(got), m)
+            keys = [hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e in got]
             return {"doc_id": ids, "key": keys, "sig": [s.tobytes() for s in sigs]}
 
         return work
@@ -123,7 +124,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         hashes = Hashes()
-        return lambda ids, texts: {"doc_id": ids, "hashes": [shingles(t, hashes)[0].tobytes() for t in texts]}
+        return lambda ids, texts: {"doc_id": ids, "hashes": [shingles(t, hashes).tobytes() for t in texts]}
 
     return map_texts(docs, id_col, text_col, make, "doc_id long, hashes binary")
 
