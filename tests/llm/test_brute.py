@@ -224,6 +224,49 @@ def test_patterns_hold_every_piece_once(histogram):
     assert got == Counter(histogram)
 
 
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20), st.integers(0, 8))
+def test_cutting_leaves_little_padding(histogram, slack):
+    stay, cut = packing.dissolved(packing.patterns_of(histogram, 64), 64, slack)
+    spaces, filled, placed = packing.spaces_of(stay, 64, slack), defaultdict(list), Counter()
+    table = packing.places_of(stay, cut).tolist()
+    for k, (length, first, sequence, at) in enumerate(table):
+        last = table[k + 1][1] if k + 1 < len(table) and table[k + 1][0] == length else histogram[length]
+        for rank in range(first, last):
+            placed[length] += 1
+            got = [(0, length, sequence + rank - first, at)] if sequence >= 0 else packing.cuts_of(at + (rank - first) * length, length, spaces, 64)
+            assert sum(n for _, n, _, _ in got) == length
+            for _, n, s, offset in got:
+                filled[s].append((offset, n))
+    assert placed == Counter(histogram) and sorted(filled) == list(range(sum(n for _, n in stay)))
+    for parts in filled.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+    total = sum(k * n for k, n in histogram.items())
+    assert 64 * len(filled) - total < slack * len(filled) + 64
+
+
+def test_packing_of_one_dominant_length(spark):
+    texts = {i: "a " * (2099 if i % 3 else 3 + 97 * i) for i in range(60)} | {100: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows, coder = packing.pack(df, WORDS, with_ids=True).collect(), WordBPE(WORDS)
+    pieces, sequences = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        pieces[r["doc_id"]][r["start"]] = bytes(r["ids"])
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, t in texts.items():
+        assert b"".join(pieces[i][k] for k in sorted(pieces[i])) == bytes(coder.ids(t or "")) + b"\2\0\0\0"
+    assert sorted(sequences) == list(range(len(sequences))) and len({(s, o) for s, x in sequences.items() for o, _ in x}) == len(rows)
+    assert all(sum(n for _, n in x) <= packing.SIZE for x in sequences.values())
+    tokens = sum(r["length"] for r in rows)
+    assert packing.SIZE * len(sequences) - tokens < packing.SLACK * len(sequences) + packing.SIZE
+    plain = {tuple(r[c] for c in ("doc_id", "start", "ids_crc32", "sequence_id", "offset")) for r in packing.pack(df, WORDS).collect()}
+    assert plain == {tuple(r[c] for c in ("doc_id", "start", "ids_crc32", "sequence_id", "offset")) for r in rows}
+
+
 @given(st.integers(1, 32), st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=8), st.integers(1, 30))
 def test_token_file_round_trip(width, texts, block):
     texts = [[i & (1 << width) - 1 for i in t] for t in texts]
