@@ -42,6 +42,20 @@ def test_segment_crc(spark):
     assert got and all(want[r["topic_id"], r["offset"]] == r["crc"] for r in got)
 
 
+def test_segment_crc_covers_every_record(spark):
+    import zlib
+    from collections import defaultdict
+
+    from tidelog.plans.logmodel import LogModel
+    from tidelog.sources import seglog
+
+    segs = defaultdict(list)
+    for r in LogModel(spark, SF).records.collect():
+        segs[r["topic_id"], r["flush_id"], r["schema_id"]].append((r["offset"], r["key"].encode(), r["value"].encode()))
+    want = {(k[0], min(x)[0]): zlib.crc32(seglog.encode_records([y[1:] for y in sorted(x)])) for k, x in segs.items()}
+    assert {(r["topic_id"], r["offset"]): r["segment_crc"] for r in QUERIES["segment_crc"](spark, SF).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

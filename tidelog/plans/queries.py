@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import scalar
 from tidelog.operators import append, catalog, groups, invariants, readpath, sink
 from tidelog.plans.logmodel import LEASE_US, MAX_INFLIGHT, SESSION_US, LogModel
-from tidelog.sources import avro
+from tidelog.sources import avro, seglog
 
 QUERIES: dict = {}
 
@@ -52,9 +54,11 @@ def record_encoded_size(m):
 
 @query
 def segment_crc(m):
-    """crc32 over the record values of a segment's first record, as a check value (no twin in the checking SQL)."""
-    first = m.records.where("offset = start_offset")
-    return first.select("topic_id", "offset", F.crc32("value").alias("crc"))
+    """One row per segment: segment_crc over all its encoded records in offset order, and its first record's offset and value's
+    crc (no twin in the checking SQL). A segment is within a flush, so it has at most 64 records."""
+    encoded = F.udf(lambda rs: zlib.crc32(seglog.encode_records((None if r["key"] is None else r["key"].encode(), (r["value"] or "").encode()) for r in rs)), "long")
+    segs = m.records.groupBy("topic_id", "flush_id", "schema_id").agg(F.sort_array(F.collect_list(F.struct("offset", "key", "value"))).alias("rs"))
+    return segs.select("topic_id", F.col("rs")[0]["offset"].alias("offset"), F.crc32(F.col("rs")[0]["value"]).alias("crc"), encoded("rs").alias("segment_crc"))
 
 
 @query
