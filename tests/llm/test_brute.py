@@ -382,6 +382,16 @@ def test_quality_decides_on_held_out_labels(spark):
     assert sum(p == 1 for q, p in held if q == 1) >= 0.97 * sum(q == 1 for q, _ in held)
 
 
+def test_quality_learns_where_every_document_is_labelled(spark):
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").where("quality is not null")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality.quality(docs, labels, lambda c: crc_mod(c, 5) != 0).collect()
+    good, bad = ([r["score"] for r in rows if truth[r["doc_id"]] == q] for q in (1, 0))
+    assert sum(a > b for a in good for b in bad) >= 0.9 * len(good) * len(bad) > 0
+
+
 def test_non_negative_risk_takes_only_positives():
     rng = np.random.default_rng(8)
     draw = lambda n, good: rng.normal(1.5 if good else -1.5, 1, (n, 3))

@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are texts labelled good; all other texts are unlabelled, a mixture with the share ``prior`` of good ones. A
-small network g is fitted in numpy to the non-negative unbiased risk
+Trusted positives are texts labelled good; all texts that may be learned from, labelled or not, are the unlabelled mixture with
+the share ``prior`` of good ones, so that it is there where every text has a label. A small network g is fitted in numpy to the non-negative unbiased risk
 
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 
@@ -155,7 +155,7 @@ def quality(docs: DataFrame, labels: DataFrame, may_learn, id_col: str = "doc_id
     n = {r["quality"]: r["n"] for r in train.where("quality is not null").groupBy("quality").agg(F.count("*").alias("n")).collect()}
     good, bad = n.get(1, 0), n.get(0, 0)
     prior = (good + 1) / (good + bad + 2) if bad else 0.8
-    net = fit(sampled(train.where("quality = 1"), max_train), sampled(train.where("quality is null"), max_train), prior)
+    net = fit(sampled(train.where("quality = 1"), max_train), sampled(train, max_train), prior)
 
     def run(batches):
         for pdf in batches:
