@@ -106,3 +106,36 @@ def test_stages(spark, tmp_path, name):
     want = {"language": [3, 3, 4, 5, 7, None], "exact": [1, 3, 3, 5, 6, 7, None], "near": [1, 2, 3, 3, 5, 6, 7, None]}.get(name)
     assert want is None or [r["doc_id"] for r in in_order(out)] == want
     assert stage(spark, table(spark, []), str(tmp_path)).count() == 0
+
+
+def test_near_ids_that_repeat_with_other_texts(spark):
+    a, b = ("one two three four five six seven eight nine ten " * 3, " ".join(f"w{i}" for i in range(30)))
+    rows = [(1, a), (2, b), (3, a + " eleven"), (3, b), (4, "alone " * 9)]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["class_id"], r["class_size"]) for r in minhash_dedup.near_dedup(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(1, 1, 2), (3, 1, 2), (2, 2, 2), (3, 2, 2), (4, 4, 1)}
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    from tidelog.llm.common import scratch, written
+
+    with scratch(spark):
+        with scratch(spark):
+            gone, inner = written(spark.range(3)), written(spark.range(4), keep=True)
+        assert inner.count() == 4
+        kept = written(inner, keep=True)
+    assert kept.count() == 4
+    for t in (gone, inner):
+        with pytest.raises(Exception, match="exist"):
+            t.count()
+
+
+def test_samples_at_any_size(spark):
+    from tidelog.llm.common import below, sampled
+
+    df = spark.range(20000).withColumn("text", F.lit("same"))
+    assert 800 < df.where(below(0.05, "id", "text")).count() < 1200 and df.where(below(1.0, "id")).count() == 20000
+    wanted = int(20_000 / 5e10 * 2.0**63)  # hashes that a share of 20,000 of 5e10 rows lets through
+    assert wanted > 3e12 and df.where(below(20_000 / 5e10, "id")).count() == 0
+    assert 400 < sampled(df, 20000, 500, "id", "text").count() < 600
+    assert sampled(df, 20000, 500, "text").count() == 1 and sampled(df.limit(0), 0, 5, "id").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +15,36 @@ BROADCAST_IDS = 1_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine), below a temporary one that is then set."""
+    """A new folder below spark.checkpoint.dir; where that is unset and all run on one machine (tests), below a temporary one that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+#: The folders written since each scratch() that is open began, the innermost last.
+OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that written() makes inside are deleted at the end, but for those with keep: they belong to the scratch() around, if any."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in OPEN.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """The rows of df, written once as Parquet to the shared folder and reread: cuts the lineage and survives lost executors."""
     path = work_dir(df.sparkSession)
+    if len(OPEN) > keep:
+        OPEN[-1 - keep].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,6 +55,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def below(share: float, *cols) -> Column:
+    """Whether the 63-bit hash of the columns is in the lowest share of its range; exact enough for a share of 1e-15."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) < F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+
+
+def sampled(df: DataFrame, rows: int, most: int, *cols: str) -> DataFrame:
+    """Of the `rows` rows of df about `most` at the most, taken by a hash of cols; rows that are equal in cols come once.
+
+    The share taken is computed from the number of rows, so the sample is spread over the table. If nothing was taken though there
+    are rows (a table of a few texts repeated), it is the first `most` by that hash."""
+    mark = F.xxhash64(F.lit("sample"), *cols)
+    part = df if rows <= most else df.where(below(most / rows, F.lit("sample"), *cols))
+    part = part.withColumn("__mark", mark).dropDuplicates(["__mark"])
+    if rows > most and part.isEmpty():
+        part = df.withColumn("__mark", mark).dropDuplicates(["__mark"]).orderBy("__mark").limit(most)
+    return part.drop("__mark")
+
+
 def kept_rows(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """df semi- or anti-joined ("left_semi", "left_anti") with the one-column table ids on df[key].
 

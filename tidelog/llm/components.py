@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     a star is done after one. Minima are aggregated before the shuffle, so that a node with very many neighbours sends a row
     per task. Rounds are written tables. Edges with a null end and loops count as none.
     """
+    with scratch(edges.sparkSession):
+        return contracted(edges)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     e = written(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     total = None
@@ -32,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
     if total is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     least = total.groupBy("root").agg(F.min("node").alias("component"))
-    return total.join(least, "root").select("node", "component")
+    return written(total.join(least, "root").select("node", "component"), keep=True)

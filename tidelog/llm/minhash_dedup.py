@@ -11,15 +11,17 @@ the element alone.
 2. Signatures are cut into ``bands`` bands of ``rows`` registers: at similarity 0.8 a pair shares a bucket with probability
    1 - (1 - 0.8**4)**20 = 0.99997. Candidates come from buckets:
    a. of up to ``small`` members: all their pairs, a bounded number for each member;
-   b. of more: each member with four hubs of its bucket, so rows grow with the members and not with their square;
-   c. the rest, exactly: in large buckets whose members aren't all connected by then, those outside the largest component are
-      compared with all members, block by block; a block gives only the edges that connect it.
-3. A candidate whose registers agree too rarely is left out (below ``floor``: 5 standard deviations under 0.8); the others are
-   verified by the Jaccard of their shingle sets, read again from whole texts. Links join representatives to components.
+   b. of more: each member with four hubs of its bucket, so rows grow with the members and not with their square. One hub is the
+      member with the most company in large buckets, which in a group of copies is the text that they were made of;
+   c. the rest, exactly: the members of large buckets that are not all connected by then meet in an exact similarity join
+      (``rest_links``), which looks only for links between different components.
+3. A candidate of a and b whose registers agree too rarely is left out (below ``floor``: 5 standard deviations under 0.8); the
+   others are verified by the Jaccard of their shingle sets, read again from whole texts. Links join representatives to components.
 
 Defined cases: texts without words (null, empty, punctuation only) are alone; rows with a null id link with nothing and get a
-null class; an id that repeats counts each time in class_size, and both rows are kept or not alike; an empty table gives an
-empty result; only the id and the text of the input are read.
+null class; an id that repeats counts each time in class_size; if its texts differ, each row is classed by its own text, and
+texts that the same id represents are one class; an empty table gives an empty result; only the id and the text of the input are
+read.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelog.llm.common import kept_rows, map_texts, mix64, written
+from tidelog.llm.common import kept_rows, map_texts, mix64, scratch, written
 from tidelog.llm.components import components
 from tidelog.llm.license_scan import words_of
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SMALL, HUBS, BLOCK = 5, 0.8, 20, 4, 16, 4, 128
+SHINGLE, THRESHOLD, BANDS, ROWS, SMALL, HUBS, BLOCK, ROUNDS = 5, 0.8, 20, 4, 16, 4, 256, 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker remembers; the memory is emptied beyond it.
 MEMORY = 300_000
@@ -147,53 +149,134 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshol
     """(a, b) of verified representatives that connect all candidates over the threshold. reps: rep, sig."""
     floor = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     cut = [F.xxhash64(F.lit(k), F.substring("sig", 4 * rows * k + 1, 4 * rows)) for k in range(bands)]
-    entries = written(reps.select("rep", F.explode(F.array(*cut)).alias("bucket")))
-    hubs = [F.min_by("rep", F.xxhash64(F.lit(i), "rep")).alias(f"hub{i}") for i in range(HUBS)]
-    buckets = written(entries.groupBy("bucket").agg(F.count("*").alias("size"), *hubs).where("size > 1"))
+    entries = written(reps.select("rep", F.explode(F.array_distinct(F.array(*cut))).alias("bucket")))
+    buckets = written(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     few = entries.join(buckets.where(f"size <= {small}").select("bucket"), "bucket")
-    pairs = few.groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("r"))  # at most `small` in each
-    pairs = pairs.select(F.posexplode("r").alias("i", "a"), "r").select("a", F.explode(F.expr("slice(r, i + 2, size(r))")).alias("b"))
-    large = buckets.where(f"size > {small}")
-    spokes = entries.join(large, "bucket").select("rep", F.explode(F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS))))).alias("hub")).where("rep <> hub")
-    pairs = pairs.unionByName(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct()
+    pairs = pairs_within(few, "bucket", small)
+    in_large = written(entries.join(buckets.where(f"size > {small}"), "bucket"))
+    company = written(in_large.groupBy("rep").agg(F.sum("size").alias("company")))
+    pairs = pairs.unionByName(spokes(in_large.select("bucket", "rep").join(company, "rep"), "bucket", "company")).distinct()
     sig_a, sig_b = reps.toDF("a", "sa"), reps.toDF("b", "sb")
-    pairs = written(pairs.join(sig_a, "a").join(sig_b, "b").where(agreement("sa", "sb") >= floor).select("a", "b"))
-    in_large = entries.join(large.select("bucket", "size"), "bucket")
-    wanted = written(pairs.select("a").union(pairs.select("b")).union(in_large.select("rep")).distinct())
-    sets = written(sets_of(kept_rows(docs, id_col, wanted, "left_semi"), id_col, text_col).dropDuplicates(["doc_id"]))
-    set_a, set_b = sets.toDF("a", "ha"), sets.toDF("b", "hb")
-    found = written(pairs.join(set_a, "a").join(set_b, "b").where(overlap("ha", "hb") >= threshold).select("a", "b"))
+    pairs = written(pairs.join(sig_a, "a").join(sig_b, "b").where(agreement("sa", "sb") >= floor).select("a", "b").distinct())
+    wanted = written(pairs.select("a").union(pairs.select("b")).union(company.select("rep")).distinct())
+    sets = written(sets_of(kept_rows(docs, id_col, wanted, "left_semi"), id_col, text_col).distinct())
+    found = verified(pairs, sets, threshold)
     rest = unsettled(in_large, components(found))
     if rest.isEmpty():
         return found
-    return found.unionByName(rest_links(rest, sets, threshold))
+    return found.unionByName(rest_links(rest, sets, threshold, small))
 
 
-def unsettled(in_large: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of large buckets that hold several components: bucket, rep, c (component), inside (in the bucket's largest), size, others."""
-    own = written(in_large.join(parts.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")))
-    counts = own.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    top = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.max("n").alias("n"), F.sum("n").alias("all")).where("n < all")
-    return written(own.join(top, "bucket").select("bucket", "rep", "c", (F.col("c") == F.col("top")).alias("inside"), "size", (F.col("all") - F.col("n")).alias("others")))
+def pairs_within(rows: DataFrame, key: str, small: int) -> DataFrame:
+    """(a, b) of the members of each key, which has at most `small` of them."""
+    groups = rows.groupBy(key).agg(F.sort_array(F.collect_set("rep")).alias("r"))
+    return groups.select(F.posexplode("r").alias("i", "a"), "r").select("a", F.explode(F.expr(f"slice(r, i + 2, {small})")).alias("b"))
+
+
+def hubs_of(rows: DataFrame, key: str, rank: str) -> DataFrame:
+    """key, hubs: the member of the highest rank and some at random."""
+    picks = [F.max_by("rep", F.struct(rank, "rep")), *(F.min_by("rep", F.xxhash64(F.lit(i), "rep")) for i in range(1, HUBS))]
+    return rows.groupBy(key).agg(*(p.alias(f"hub{i}") for i, p in enumerate(picks))).select(key, F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hubs"))
+
+
+def spokes(rows: DataFrame, key: str, rank: str) -> DataFrame:
+    """(a, b): each member with the hubs of its key."""
+    rows = rows.join(written(hubs_of(rows, key, rank)), key).select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
+    return rows.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
-def rest_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between members outside the largest component of a bucket and all its members, in blocks of about BLOCK by BLOCK."""
-    i_of, j_of = (F.expr(f"int(ceil({n} / {BLOCK}))") for n in ("others", "size"))
-    side = lambda own, n, other, m: rest.where(own).select("bucket", "rep", "c", F.pmod(F.xxhash64("rep"), n).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other"))
-    left = side("not inside", i_of, "others", j_of).select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), "rep", "c", F.lit(True).alias("left"))
-    right = side("true", j_of, "size", i_of).select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), "rep", "c", F.lit(False).alias("left"))
-    cells = left.unionByName(right).join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard of at least the threshold. sets: doc_id, hashes."""
+    set_a, set_b = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+    return written(pairs.join(set_a, "a").join(set_b, "b").where(overlap("ha", "hb") >= threshold).select("a", "b").distinct())
+
+
+def unsettled(in_large: DataFrame, parts: DataFrame) -> DataFrame:
+    """rep, c (component) of the members of large buckets that hold several components."""
+    own = written(in_large.select("bucket", "rep").join(parts.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")))
+    mixed = written(own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket"))
+    return written(own.join(mixed, "bucket").select("rep", "c").distinct())
+
+
+def rest_links(rest: DataFrame, sets: DataFrame, threshold: float, small: int) -> DataFrame:
+    """All links between different components c of the representatives rest (rep, c) that it takes to connect them.
+
+    A link of x needs ceil(threshold * |x|) common shingles with a set of another component. So only shingles held by two
+    components or more count; sets with too few of these have no link; and of the others, linked sets share one of their first
+    count - ceil(threshold * |x|) + 1 such shingles, rarest first. A posting of such a shingle with at most `small` sets gives its
+    pairs. In a longer one all are compared with hubs, the hubs leave it (all their pairs are decided), components are
+    contracted and what holds one component only is done; after ROUNDS rounds blocks of it are compared (``blocked``)."""
+    posts, found = written(postings(rest, sets, threshold)), None
+    for turn in range(ROUNDS + 1):
+        if posts.isEmpty():
+            break
+        size = written(posts.groupBy("e").agg(F.count("*").alias("size")))
+        few, many = posts.join(size.where(f"size <= {small}"), "e"), written(posts.join(size.where(f"size > {small}"), "e").drop("size"))
+        pairs = pairs_within(few, "e", small)
+        if turn < ROUNDS:
+            pairs = pairs.unionByName(spokes(many, "e", "shared"))
+        ends = [rest.toDF(x, f"c{x}") for x in "ab"]
+        pairs = pairs.distinct().join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b")
+        new = verified(pairs, sets, threshold)
+        if turn == ROUNDS and not many.isEmpty():
+            new = new.unionByName(blocked(many, sets, threshold))
+        found = new if found is None else found.unionByName(new)
+        hubs = written(hubs_of(many, "e", "shared").select("e", F.explode("hubs").alias("rep")))
+        posts = written(contracted(many.join(hubs, ["e", "rep"], "left_anti") if turn < ROUNDS else many.limit(0), rest, found))
+    return found if found is not None else rest.select(F.col("rep").alias("a"), F.col("c").alias("b")).limit(0)
+
+
+def contracted(posts: DataFrame, rest: DataFrame, found: DataFrame) -> DataFrame:
+    """posts with the components that the links found so far give, without shingles of a single component."""
+    own = rest.toDF("n", "c")
+    joined = components(found.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("ca", "cb")).toDF("c", "new")
+    posts = written(posts.join(joined, "c", "left").withColumn("c", F.coalesce("new", "c")).drop("new"))
+    mixed = written(posts.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("e"))
+    return posts.join(mixed, "e")
+
+
+def postings(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """e, rep, c, shared: the first shingles e of each set, as rest_links says; shared: the share of its shingles that count."""
+    own = written(rest.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "c", "hashes", F.xxhash64("hashes").alias("s")))
+
+    def by_component(batches):
+        """e, c and the number of sets; once for each batch."""
+        for pdf in batches:
+            for c, part in pdf.groupby("c"):
+                e, n = np.unique(np.concatenate([np.frombuffer(h, np.int64) for h in part["hashes"]]), return_counts=True)
+                yield pd.DataFrame({"e": e, "c": c, "n": n})
+
+    def by_set(batches):
+        for pdf in batches:
+            e = [np.frombuffer(h, np.int64) for h in pdf["hashes"]]
+            n = [len(x) for x in e]
+            yield pd.DataFrame({"e": np.concatenate(e) if e else np.zeros(0, np.int64), "size": np.repeat(n, n), **{k: np.repeat(pdf[k].to_numpy(), n) for k in ("rep", "c", "s")}})
+
+    common = own.select("c", "hashes").mapInPandas(by_component, "e long, c long, n long").groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n")).where("low < high")
+    each = own.mapInPandas(by_set, "e long, size long, rep long, c long, s long").join(written(common.select("e", "n")), "e")
+    need = F.ceil(F.col("size") * F.lit(threshold) - 1e-9)
+    enough = each.groupBy("rep", "c", "s", "size").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es")).where(F.col("shared") >= need)
+    first = enough.select("rep", "c", (F.col("shared") / F.col("size")).alias("shared"), F.explode(F.slice("es", F.lit(1), (F.col("shared") - need + 1).cast("int"))).alias("x"))
+    first = written(first.groupBy(F.col("x.e").alias("e"), "rep", "c").agg(F.max("shared").alias("shared")))
+    mixed = written(first.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("e"))
+    return first.join(mixed, "e")
+
+
+def blocked(posts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between components within each posting, by pairs of blocks of about BLOCK sets; a pair of blocks gives a forest of them."""
+    blocks = posts.withColumn("of", F.expr(f"int(ceil(count(*) OVER (PARTITION BY e) / {BLOCK}))")).withColumn("own", F.pmod(F.xxhash64("rep"), "of").cast("int"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
+    cells = cells.join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        a, b = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
         out = []
         if len(a) and len(b):
             hit = close(a["hashes"].tolist(), b["hashes"].tolist(), threshold) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :])
             out = forest(a["rep"].tolist(), b["rep"].tolist(), a["c"].tolist(), b["c"].tolist(), hit)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return written(cells.groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long").distinct())
+    return written(cells.groupBy("e", "i", "j").applyInPandas(cell, "a long, b long").distinct())
 
 
 def close(a: list[bytes], b: list[bytes], threshold: float) -> np.ndarray:
@@ -235,15 +318,20 @@ def forest(a: list[int], b: list[int], ca: list[int], cb: list[int], hit: np.nda
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id of its component), class_size (rows), kept (doc_id = class_id)."""
+    with scratch(docs.sparkSession):
+        return classes(docs, id_col, text_col, threshold, bands, rows, small)
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, small: int) -> DataFrame:
     marks = written(marked(docs, id_col, text_col, bands * rows))
     known = marks.where("doc_id is not null and key is not null")
     reps = written(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
-    found = links(docs.where(F.col(id_col).isNotNull()), reps.select("rep", "sig").dropDuplicates(["rep"]), id_col, text_col, threshold, bands, rows, small)
+    found = links(docs.where(F.col(id_col).isNotNull()), reps.select("rep", "sig"), id_col, text_col, threshold, bands, rows, small)
     parts = components(found).toDF("rep", "part")
-    class_of = reps.join(parts, "rep", "left").select("key", F.coalesce("part", "rep").alias("class_id"))
+    class_of = written(reps.join(parts, "rep", "left").select("key", F.coalesce("part", "rep").alias("class_id")))
     own = marks.select("doc_id", "key").join(class_of, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).alias("class_id"))
-    own = written(own)
-    sizes = own.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size"))
+    own = written(own, keep=True)
+    sizes = written(own.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size")), keep=True)
     return own.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
