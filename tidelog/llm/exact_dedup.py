@@ -7,8 +7,9 @@ is an empty one. Each level keeps only the groups of the level before that have
 2. ``p``: a 64-bit hash of its first ``prefix`` characters;
 3. ``h``: sha256 of all of it, needed only for rows that are left.
 
-Levels group by partial aggregation, so that one text held by a third of the rows sends a row per task; the rows then meet
-their group in an equi-join whose hot keys adaptive execution splits. Texts themselves are never shuffled on level 1 and 2.
+Levels group by partial aggregation, so that one text held by a third of the rows sends a row per task. The groups of a level are a
+written table; the rows then meet them in an equi-join whose two sides are shuffled for it alone, so that adaptive execution may
+split its hot keys or broadcast groups that turn out small. Texts themselves are never shuffled on level 1 and 2.
 
 With ``digests="all"`` the caller wants the sha256 of every row besides; it is then computed in the first scan, which saves
 the second one. With ``digests="survivors"`` the second scan reads the text of the rows that are left and of no others.
@@ -37,19 +38,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.unhex(F.sha2("t", 256))
     first = {"n": F.octet_length("t"), "p": F.xxhash64(F.substring("t", 1, prefix))} | ({"h": sha} if digests == "all" else {})
     marks = written(rows.select("doc_id", *(c.alias(k) for k, c in first.items())))
-    lengths = marks.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
+    lengths = written(marks.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"))
     left = marks.join(lengths, "n", "left_semi")
-    prefixes = left.groupBy("n", "p").agg(F.count("*").alias("c")).where("c > 1").select("n", "p")
-    left = left.join(prefixes, ["n", "p"], "left_semi")
+    prefixes = written(left.groupBy("n", "p").agg(F.count("*").alias("c")).where("c > 1").select("n", "p"))
+    left = marks.join(prefixes, ["n", "p"], "left_semi")
     if digests != "all":
         ids = written(left.select("doc_id").distinct())
         left = kept_rows(rows, "doc_id", ids.where("doc_id is not null"), "left_semi").unionByName(rows.where("doc_id is null"))
         left = written(left.select("doc_id", *(c.alias(k) for k, c in (first | {"h": sha}).items())))
-    groups = left.groupBy("n", "p", "h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = written(left.groupBy("n", "p", "h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     if digests == "all":
         out = marks.join(groups, ["n", "p", "h"], "left")
     else:
-        found = left.join(groups, ["n", "p", "h"]).select(F.col("doc_id").alias("i"), F.col("n").alias("fn"), F.col("p").alias("fp"), "h", "keep_id", "group_size").dropDuplicates(["i", "fn", "fp", "h"])
+        found = written(left.join(groups, ["n", "p", "h"]).select(F.col("doc_id").alias("i"), F.col("n").alias("fn"), F.col("p").alias("fp"), "h", "keep_id", "group_size").dropDuplicates(["i", "fn", "fp", "h"]))
         out = marks.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("n") == F.col("fn")) & (F.col("p") == F.col("fp")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
