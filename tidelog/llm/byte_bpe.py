@@ -107,8 +107,17 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
 def stitched(rows: DataFrame, ranks_path: str, pattern: str, finish, schema: str, names: list[str], chunk: int, overlap: int) -> DataFrame:
     """byte_bpe for texts of several chunks; rows: doc_id, text, n."""
-    parts = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "n", "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((n - 1) div {chunk})"))).alias("k"))
-    parts = parts.select("doc_id", "row", "n", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("window")).repartition("row", "k")
+    def windows(batches):
+        """A row per chunk, cut in one pass over its text; a text gives its windows in batches of some MB."""
+        for pdf in batches:
+            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
+                starts = range(0, len(text), chunk)
+                for at in range(0, len(starts), 128):
+                    got = [text[s : s + chunk + overlap] for s in starts[at : at + 128]]
+                    yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(got), "Int64"), "row": row, "n": len(text), "k": range(at, at + len(got)), "window": got})
+
+    parts = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInPandas(windows, "doc_id long, row long, n int, k int, window string")
+    parts = written(parts).repartition("row", "k")  # written, so that row numbers can't change when a lost task runs again
 
     def runs(batches):
         bpe = coder(ranks_path, pattern)
@@ -123,7 +132,7 @@ def stitched(rows: DataFrame, ranks_path: str, pattern: str, finish, schema: str
             yield pdf.assign(head=heads, tail=tails)
 
     seen = parts.mapInPandas(runs, "doc_id long, row long, n int, k int, window string, head array<int>, tail array<int>")
-    seen = written(seen)  # so that row numbers can't change when a lost task runs again
+    seen = written(seen)
     turn = "PARTITION BY row ORDER BY k"
     spans = seen.selectExpr("row", "k", "n", f"array_min(array_intersect(lag(tail) OVER ({turn}), head)) AS begin", f"array_min(array_intersect(tail, lead(head) OVER ({turn}))) AS stop", "count(*) OVER (PARTITION BY row) AS parts")
     spans = spans.selectExpr("row AS r", "k AS j", "IF(k = 0, 0, begin) AS begin", "IF(k = parts - 1, n, stop) AS stop", "parts")
