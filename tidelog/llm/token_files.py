@@ -90,10 +90,14 @@ class TokenFile:
         return np.concatenate(got)[start - first * self.block : stop - first * self.block]
 
     def documents(self):
-        """(doc_id or None, start in the file, ids) of each document."""
-        start = 0
+        """(doc_id or None, start in the file, ids) of each document; each block is unpacked once."""
+        start, low, high, held = 0, 0, 0, np.zeros(0, "<u4")  # held: ids [low, high), whole blocks
         for d, null, end in zip(self.doc_ids.tolist(), self.nulls.tolist(), self.ends.tolist(), strict=True):
-            yield None if null else d, start, self.ids(start, end)
+            if end > high:
+                top = min(-(-end // self.block) * self.block, self.n)
+                held = np.concatenate([held[start - low :], self.ids(high, top)])
+                low, high = start, top
+            yield None if null else d, start, held[start - low : end - low]
             start = end
 
 
