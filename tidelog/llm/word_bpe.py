@@ -2,9 +2,12 @@
 
 The file normalises (NFC, blanks, lower case), cuts a text into letter runs, single digits, contractions and runs of the rest,
 and drops blanks. Nothing on one side of an ASCII blank changes the ids of the other, so the ids of a text are those of its
-blank-separated parts in a row. A text of printable ASCII, ASCII blanks and Latin-1 letters is cut by the same rule here; its
+blank-separated parts in a row. The strings of the file's added tokens have their own ids, as the library finds them in the text
+before anything else. A text of printable ASCII, ASCII blanks and Latin-1 letters is cut by the same rule here; its
 words come back often, so a worker keeps the ids of each as little-endian bytes, and new ones go to the library's BPE model one
-by one. In any other text the parts that have other characters go through the whole tokenizer.
+by one. In any other text the parts that have other characters, or an added token, go through the whole tokenizer.
+
+Defined cases: an empty text, or one of blanks only, has no ids; memory does not grow with the text but by its ids.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.letters = byte_letters()
@@ -51,13 +54,13 @@ class WordBPE:
 
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if PLAIN(text):
+        if PLAIN(text) and not self.added(text):
             get, new = self.words.get, self.word
             return b"".join([get(w) or new(w) for w in CUT(text.lower())])
         out = []
         for part in text.encode().split():
             part = part.decode()
-            out.append(self.ids(part) if PLAIN(part) else np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
+            out.append(self.ids(part) if PLAIN(part) and not self.added(part) else np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
         return b"".join(out)
 
 
