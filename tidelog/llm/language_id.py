@@ -8,7 +8,7 @@ largest cosine, and that cosine, cut to 0..1, is its score.
 
 Characters that aren't letters count as one blank, runs of blanks as one, and words are bound with the blanks around them.
 
-Prototypes are fitted on at most about ``max_train`` texts: labelled rows are taken by a hash of their id, at a rate computed
+Prototypes are fitted on at most about ``max_train`` texts: labelled rows are taken by a hash of id and text, at a rate computed
 from their number, so the sample is spread over the table and has the same size however large that is. Each task sends one
 partial sum per language. Prediction reads whole texts, in their tasks, without a shuffle.
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, map_texts
+from tidelog.llm.common import crc_mod, map_texts, sampled
 
 DIM, GRAM, SEED, MAX_TRAIN = 512, 3, 20_240_229, 20_000
 UNKNOWN = "und"
@@ -37,7 +37,7 @@ class Profiles:
 
     def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED):
         self.dim, self.gram, self.seed = dim, gram, seed
-        self.letters = np.zeros((0, gram, dim), np.int8)
+        self.letters, self.n_letters = np.zeros((64, gram, dim), np.int8), 0
         self.of_code: dict[int, int] = {}
         self.table = np.full(0x110000, -1, np.int32)  # place in letters by code point; -1: not seen yet, -2: no letter
         self.place: dict[int, int] = {}
@@ -49,8 +49,11 @@ class Profiles:
             self.table[code] = 0
             return
         one = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, np.int8) * np.int8(2) - np.int8(1)
-        self.table[code] = len(self.letters)
-        self.letters = np.concatenate([self.letters, np.stack([np.roll(one, j) for j in range(self.gram)])[None]])
+        if self.n_letters == len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.n_letters] = [np.roll(one, j) for j in range(self.gram)]
+        self.table[code] = self.n_letters
+        self.n_letters += 1
 
     def codes(self, text: str) -> np.ndarray:
         """Letters as places in the letter table, 0 for a blank, one blank at either end and between words."""
@@ -104,9 +107,9 @@ class Profiles:
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
     """Unit prototypes by language from the rows of train whose language is known."""
     labelled = train.where(F.col(lang_col).isNotNull())
-    rate = min(1.0, max_train / max(1, labelled.select(id_col).count()))
-    if rate < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    rows = labelled.select(id_col).count()
+    if rows > max_train:
+        labelled = sampled(labelled.select(id_col, text_col, lang_col), rows, max_train, id_col, text_col)
 
     def make():
         profiles, sums = Profiles(), {}

@@ -12,8 +12,8 @@ if there are none): labels of the other kind serve for nothing else.
 Features are shape statistics of the whole text (letters, case, symbols, repetition of words and lines, lengths, compression),
 the same for any language. They are written once, so texts are read a single time.
 
-The fit uses at most about ``max_train`` positives and as many unlabelled texts, taken by a hash of their id at a rate computed
-from their number. Defined cases: a null text is an empty one and gets a score like any other; labels without a document, and
+The fit uses at most about ``max_train`` positives and as many unlabelled texts, taken by a hash of their id and features at a
+rate computed from their number. Defined cases: a null text is an empty one and gets a score like any other; labels without a document, and
 null labels, count as none; of several labels for an id the largest holds; with no positives every score is the prior; an
 empty table gives an empty result; only the id and the text of the documents are read.
 """
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, map_texts, written
+from tidelog.llm.common import crc_mod, map_texts, sampled, written
 
 MAX_TRAIN, HIDDEN, STEPS, BATCH, RATE, SEED, THRESHOLD = 20_000, 24, 1500, 1024, 0.01, 7, 0.3
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
@@ -46,7 +46,6 @@ def features(text: str) -> list[float]:
     kinds = np.bincount(KIND[np.frombuffer(raw, np.uint8)], minlength=8)
     counts = Counter(words)
     top = max(counts.values())
-    pairs = Counter(zip(words, words[1:]))
     again = sum(a == b for a, b in zip(words, words[1:]))
     upper = sum(x.isupper() and len(x) > 1 for x in words)
     odd = len(SYMBOLS.findall(text))
@@ -68,7 +67,7 @@ def features(text: str) -> list[float]:
         len(counts) / w,
         top / w,
         again / w,
-        1 - len(pairs) / max(1, w - 1),
+        1 - distinct_pairs(words, counts) / max(1, w - 1),
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(w / max(1, len(lines))) / 5,
         len(zlib.compress(raw, 1)) / len(raw),
@@ -76,6 +75,13 @@ def features(text: str) -> list[float]:
     ]
 
 
+def distinct_pairs(words: list[str], counts: Counter) -> int:
+    """How many different pairs of neighbours there are: 8 bytes a word, however long the text."""
+    number = {x: i for i, x in enumerate(counts)}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    return len(np.unique(ids[:-1] << 32 | ids[1:]))
+
+
 def kinds_of_bytes() -> np.ndarray:
     """0 lower, 1 upper, 2 digit, 3 blank, 4 line end, 5 punctuation of prose, 6 other ASCII, 7 not ASCII."""
     out = np.full(256, 6, np.int64)
@@ -133,12 +139,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return net
 
 
-def sampled(df: DataFrame, most: int) -> np.ndarray:
-    """Features of about `most` rows of df (doc_id, f), taken by a hash of their id."""
-    rate = min(1.0, most / max(1, df.count()))
-    if rate < 1:
-        df = df.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    return np.array([r["f"] for r in df.select("f").orderBy(F.xxhash64("doc_id"), "doc_id").collect()], float).reshape(-1, N_FEATURES)
+def some(df: DataFrame, most: int) -> np.ndarray:
+    """Features of at most about `most` rows of df (doc_id, f), taken by a hash of both."""
+    return np.array([r["f"] for r in sampled(df.select("doc_id", "f"), df.count(), most, "doc_id", "f").orderBy(F.xxhash64("doc_id", "f"), "doc_id").collect()], float).reshape(-1, N_FEATURES)
 
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +158,7 @@ def quality(docs: DataFrame, labels: DataFrame, may_learn, id_col: str = "doc_id
     n = {r["quality"]: r["n"] for r in train.where("quality is not null").groupBy("quality").agg(F.count("*").alias("n")).collect()}
     good, bad = n.get(1, 0), n.get(0, 0)
     prior = (good + 1) / (good + bad + 2) if bad else 0.8
-    net = fit(sampled(train.where("quality = 1"), max_train), sampled(train, max_train), prior)
+    net = fit(some(train.where("quality = 1"), max_train), some(train, max_train), prior)
 
     def run(batches):
         for pdf in batches:
