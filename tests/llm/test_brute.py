@@ -305,7 +305,7 @@ def test_lm_base_scores_and_model(spark, sf, docs):
         assert r["score"] < 0
 
 
-def test_lm_scores_mix_in_the_pairs_of_all_training_texts(spark, sf, docs):
+def test_lm_scores_mix_in_the_counts_of_all_training_texts(spark, sf, docs, monkeypatch):
     coder, held = WordBPE(WORDS), {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
     end = coder.vocabulary - 1
     ids = {d: [i for w in t.encode().lower().split() for i in np.frombuffer(coder.ids(w.decode()), "<u4").tolist()] + [end] for d, t in docs.items()}
@@ -315,13 +315,35 @@ def test_lm_scores_mix_in_the_pairs_of_all_training_texts(spark, sf, docs):
         n[a] += k
     model = attention_lm.Model(np.array([one[i] for i in range(coder.vocabulary)], float))  # untrained
     table = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
-    got = lm_scoring.lm_scores(table, WORDS, crc_mod("doc_id", 5) == 1, max_train=0).collect()
-    follow = lambda a, b: tuple(np.array(x, float) for x in zip(*((c[p], n[p[0]], max(1, t[p[0]])) for p in zip(a.tolist(), b.tolist()))))
-    assert len(got) == len(docs)
+    got = lm_scoring.lm_scores(table, WORDS, crc_mod("doc_id", 5) == 1, max_train=0, every=10**12).collect()
+    pairs = lambda a, b: [tuple(np.array(x, float) for x in zip(*((c[p], n[p[0]], max(1, t[p[0]])) for p in zip(a.tolist(), b.tolist()))))]
+    monkeypatch.setattr(lm_scoring, "SOME", 1)  # in the driver only: the query below runs with the counted share
+    kept, long = lambda x: lm_scoring.long_contexts(np.array(x), np.zeros(len(x), int), np.array([len(x)]), 1)[2], {}
+    for d, x in ids.items():
+        row = [end, *x]
+        contexts = kept(row[:-1])
+        long[d] = {i: (tuple(row[i - 3 : i + 1]), x[i]) for i in range(3, len(x)) if contexts[i - 3] % np.uint64(32) == 0}
+    monkeypatch.undo()
+    every = Counter(k for d, x in long.items() if not held[d] for k in x.values())
+    assert len(got) == len(docs) and sum(map(len, long.values())) > 1000
+
     for r in got:
-        want = model.scores([np.array(ids[r["doc_id"]])], end, follow=follow)[0]
-        assert math.isclose(r["score"], want, rel_tol=1e-4) and r["score"] > model.scores([np.array(ids[r["doc_id"]])], end)[0]
-    assert math.isclose((10 ** model.scores([np.array([i]) for i in range(coder.vocabulary)], end, follow=follow)).sum(), 1, rel_tol=1e-3)
+        d = r["doc_id"]
+        own = Counter() if held[d] else Counter(long[d].values())
+        left = {k: every[k] - own[k] for k in {*long[d].values()}}
+        contexts = {k[0] for k in left}
+        after = {g: Counter({k: every[k] - own[k] for k in every if k[0] == g and every[k] > own[k]}) for g in contexts} if d % 7 == 0 else None
+
+        def follow(a, b, d=d, left=left, after=after):
+            c4, n4, t4 = (np.full(len(a), x, float) for x in (0, 0, 1))
+            for i, k in long[d].items():
+                c4[i], n4[i], t4[i] = left[k], sum(after[k[0]].values()), max(1, len(after[k[0]]))
+            return [*pairs(a, b), (c4, n4, t4)]
+
+        if after is not None:
+            want = model.scores([np.array(ids[d])], end, follow=follow)[0]
+            assert math.isclose(r["score"], want, rel_tol=1e-4) and r["score"] > model.scores([np.array(ids[d])], end)[0]
+    assert math.isclose((10 ** model.scores([np.array([i]) for i in range(coder.vocabulary)], end, follow=pairs)).sum(), 1, rel_tol=1e-3)
 
 
 def test_attention_model_is_causal_normalised_and_learns():

@@ -139,3 +139,12 @@ def test_samples_at_any_size(spark):
     assert wanted > 3e12 and df.where(below(20_000 / 5e10, "id")).count() == 0
     assert 400 < sampled(df, 20000, 500, "id", "text").count() < 600
     assert sampled(df, 20000, 500, "text").count() == 1 and sampled(df.limit(0), 0, 5, "id").count() == 0
+
+
+def test_lm_words_of_very_many_ids(spark):
+    long = "x1" * 40_000
+    rows = [(2, f"before {long} after the word"), (3, "before"), (4, "after the word"), (5, long)]
+    got = in_order(lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, F.lit(False), every=10**12, max_train=0))
+    alone = in_order(lm_scoring.lm_scores(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(4, "doc_id"), WORDS, F.lit(False), every=10**12, max_train=0))
+    assert [r["n_tokens"] for r in got] == [6, 2, 4, 2] and all(r["n_known"] == r["n_tokens"] for r in got)
+    assert all(abs(a["score"] - b["score"]) < 1e-3 * abs(a["score"]) for a, b in zip(got, alone))
