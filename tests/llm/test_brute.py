@@ -316,13 +316,14 @@ def test_lm_scores_mix_in_the_counts_of_all_training_texts(spark, sf, docs, monk
     model = attention_lm.Model(np.array([one[i] for i in range(coder.vocabulary)], float))  # untrained
     table = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
     got = lm_scoring.lm_scores(table, WORDS, crc_mod("doc_id", 5) == 1, max_train=0, every=10**12).collect()
-    pairs = lambda a, b: [tuple(np.array(x, float) for x in zip(*((c[p], n[p[0]], max(1, t[p[0]])) for p in zip(a.tolist(), b.tolist()))))]
+    score = lambda x, *levels: model.scores(np.array(x), np.array([len(x)]), end, levels=levels)[0]
+    pairs = lambda x: lambda here: tuple(np.array(col, float) for col in zip(*((c[p], n[p[0]], max(1, t[p[0]])) for p in list(zip([end, *x], x))[here])))
     monkeypatch.setattr(lm_scoring, "SOME", 1)  # in the driver only: the query below runs with the counted share
-    kept, long = lambda x: lm_scoring.long_contexts(np.array(x), np.zeros(len(x), int), np.array([len(x)]), 1)[2], {}
+    kept, long = lambda x: lm_scoring.long_contexts(np.array([*x, 0]), np.zeros(len(x) + 1, int), np.array([len(x) + 1]), 1), {}
     for d, x in ids.items():
         row = [end, *x]
-        contexts = kept(row[:-1])
-        long[d] = {i: (tuple(row[i - 3 : i + 1]), x[i]) for i in range(3, len(x)) if contexts[i - 3] % np.uint64(32) == 0}
+        places, _, contexts, *_ = kept(row[:-1])
+        long[d] = {i: (tuple(row[i - 3 : i + 1]), x[i]) for i, g in zip(places.tolist(), contexts.tolist()) if g % 32 == 0 and i < len(x)}
     monkeypatch.undo()
     every = Counter(k for d, x in long.items() if not held[d] for k in x.values())
     assert len(got) == len(docs) and sum(map(len, long.values())) > 1000
@@ -334,16 +335,13 @@ def test_lm_scores_mix_in_the_counts_of_all_training_texts(spark, sf, docs, monk
         contexts = {k[0] for k in left}
         after = {g: Counter({k: every[k] - own[k] for k in every if k[0] == g and every[k] > own[k]}) for g in contexts} if d % 7 == 0 else None
 
-        def follow(a, b, d=d, left=left, after=after):
-            c4, n4, t4 = (np.full(len(a), x, float) for x in (0, 0, 1))
+        if after is not None:
+            c4, n4, t4 = (np.full(len(ids[d]), x, float) for x in (0, 0, 1))
             for i, k in long[d].items():
                 c4[i], n4[i], t4[i] = left[k], sum(after[k[0]].values()), max(1, len(after[k[0]]))
-            return [*pairs(a, b), (c4, n4, t4)]
-
-        if after is not None:
-            want = model.scores([np.array(ids[d])], end, follow=follow)[0]
-            assert math.isclose(r["score"], want, rel_tol=1e-4) and r["score"] > model.scores([np.array(ids[d])], end)[0]
-    assert math.isclose((10 ** model.scores([np.array([i]) for i in range(coder.vocabulary)], end, follow=pairs)).sum(), 1, rel_tol=1e-3)
+            want = score(ids[d], pairs(ids[d]), lambda here, x=(c4, n4, t4): [y[here] for y in x])
+            assert math.isclose(r["score"], want, rel_tol=1e-4) and r["score"] > score(ids[d])
+    assert math.isclose(sum(10 ** score([i], pairs([i])) for i in range(0, coder.vocabulary)), 1, rel_tol=1e-3)
 
 
 def test_attention_model_is_causal_normalised_and_learns():
@@ -352,13 +350,25 @@ def test_attention_model_is_causal_normalised_and_learns():
     model = attention_lm.Model(counts)
     assert np.allclose(np.bincount(model.classes, 10**model.share), 1)
     texts = [np.tile(np.arange(1, 8), 12)[: rng.integers(1, 80)] for _ in range(40)]
-    one = [model.scores([t], 0)[0] for t in texts]
-    assert np.allclose(model.scores(texts, 0, batch=7), one, rtol=1e-4)
-    total = sum(10 ** model.scores([np.array([3, i])], 0)[0] for i in range(300))  # over all second ids: the probability of the first
-    assert math.isclose(total, 10 ** model.scores([np.array([3])], 0)[0], rel_tol=1e-3)
-    before = model.scores(texts, 0).sum()
+    scores = lambda ts, **k: model.scores(*attention_lm.laid_out(ts), 0, **k)
+    one = [scores([t])[0] for t in texts]
+    assert np.allclose(scores(texts, batch=7), one, rtol=1e-4)
+    total = sum(10 ** scores([np.array([3, i])])[0] for i in range(300))  # over all second ids: the probability of the first
+    assert math.isclose(total, 10 ** scores([np.array([3])])[0], rel_tol=1e-3)
+    before = scores(texts).sum()
     model.fit(texts, 0, steps=60)
-    assert model.scores(texts, 0).sum() > before / 2
+    assert scores(texts).sum() > before / 2
+
+
+def test_fast_hidden_layer_equals_the_plain_one():
+    rng = np.random.default_rng(6)
+    model = attention_lm.Model(rng.integers(1, 50, 300))
+    texts = [rng.integers(0, 300, n) for n in (1, 3, 24, 25, 60, 200)]
+    targets, lengths = attention_lm.laid_out(texts)
+    owner, first = attention_lm.windows_of(lengths)
+    ids, known, _, valid = attention_lm.view(attention_lm.inputs(targets, lengths, 0), np.cumsum(lengths) - lengths, lengths, owner, first)
+    plain = model.forward(ids, known)[0].reshape(-1, attention_lm.HIDDEN)
+    assert np.allclose(model.hidden(ids, known)[valid.ravel()], plain[valid.ravel()], atol=1e-5)
 
 
 def test_attention_gradients():

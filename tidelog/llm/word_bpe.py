@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -49,7 +50,7 @@ class WordBPE:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         if len(self.words) >= MEMORY:
             self.words.clear()
-        got = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        got = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return got
 
     def ids(self, text: str) -> bytes:
