@@ -323,7 +323,7 @@ def test_lm_scores_mix_in_the_counts_of_all_training_texts(spark, sf, docs, monk
     for d, x in ids.items():
         row = [end, *x]
         places, _, contexts, *_ = kept(row[:-1])
-        long[d] = {i: (tuple(row[i - 3 : i + 1]), x[i]) for i, g in zip(places.tolist(), contexts.tolist()) if g % 32 == 0 and i < len(x)}
+        long[d] = {i: (tuple(row[i - 3 : i + 1]), x[i]) for i, g in zip(places.tolist(), contexts.tolist()) if g % 16 == 0 and i < len(x)}
     monkeypatch.undo()
     every = Counter(k for d, x in long.items() if not held[d] for k in x.values())
     assert len(got) == len(docs) and sum(map(len, long.values())) > 1000
