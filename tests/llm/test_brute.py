@@ -348,7 +348,7 @@ def test_attention_model_is_causal_normalised_and_learns():
     rng = np.random.default_rng(2)
     counts = rng.integers(1, 50, 300)
     model = attention_lm.Model(counts)
-    assert np.allclose(np.bincount(model.classes, 10**model.share), 1)
+    assert np.allclose(np.bincount(model.classes, np.exp(model.share)), 1)
     texts = [np.tile(np.arange(1, 8), 12)[: rng.integers(1, 80)] for _ in range(40)]
     scores = lambda ts, **k: model.scores(*attention_lm.laid_out(ts), 0, **k)
     one = [scores([t])[0] for t in texts]
@@ -460,3 +460,10 @@ def test_pipeline_against_plain_steps(spark, sf, docs):
 def test_crc_mod(spark):
     got = spark.createDataFrame([(1,), (None,)], "i long").select(crc_mod("i", 5).alias("m")).collect()
     assert [r["m"] for r in got] == [zlib.crc32(b"1") % 5, -1]
+
+
+@given(st.sets(st.integers(0, 2**32), min_size=1, max_size=300), st.randoms())
+def test_places_of_keys(keys, rnd):
+    keys = np.array(sorted(keys), np.uint64)
+    want = np.array([rnd.randrange(len(keys)) for _ in range(500)])
+    assert (lm_scoring.Places(keys).of(keys[want]) == want).all()
