@@ -178,21 +178,58 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def test_embedding_dedup_equals_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(12, 32))
-    x = np.concatenate([centres[i % 12] + rng.normal(size=32) * rng.choice([0.1, 0.2, 0.25]) for i in range(600)]).reshape(-1, 32).astype(np.float32)
-    x[5] = x[17]
-    labels = [i % 12 % 3 for i in range(600)]
-    df = spark.createDataFrame([(i, v.tolist(), label) for i, (v, label) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, block=64).collect()}
-    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+def all_links(ids, vectors, labels):
+    """n_links and component of each vector, by all pairs."""
+    y = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     hit = (y @ y.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
     np.fill_diagonal(hit, False)
-    n = hit.sum(1)
-    assert all(got[i]["n_links"] <= n[i] for i in got) and sum(r["n_links"] for r in got.values()) >= 0.9 * n.sum() > 0
     top = embedding_dedup.roots(hit)
-    assert sum(got[i]["component_id"] == top[i] for i in got) >= 0.95 * len(got)
+    return {i: (int(n), ids[t]) for i, n, t in zip(ids, hit.sum(1), top)}
+
+
+def test_embedding_query_equals_all_pairs(spark, tmp_path):
+    rows = sorted((r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect())
+    rng, rows = np.random.default_rng(1), [r for r in rows if r[1] is not None and r[2] is not None and any(r[1])]
+    for i, v, label in rows[::3]:
+        near = np.array(v) + rng.normal(size=len(v)) * np.linalg.norm(v) / len(v) ** 0.5 * rng.choice([0.1, 0.3, 0.4])
+        rows = [*rows, (10**6 + i, near.astype(np.float32).tolist(), label)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = all_links([r[0] for r in rows], np.array([r[1] for r in rows], np.float32).astype(float), [r[2] for r in rows])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values()) > 0
+    assert all(got[i][0] <= want[i][0] for i in got) and sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
+
+
+def test_embedding_labels_of_very_different_size(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(900, 32))
+    x = np.concatenate([centres[k] + rng.normal(size=(rng.choice([1, 2, 4]), 32)) * rng.choice([0.1, 0.2, 0.25]) for k in range(900)])
+    x = np.concatenate([x, rng.normal(size=(200, 32)), x[:3]])
+    labels = ["huge" if i < len(x) - 203 else f"tiny{i % 150}" for i in range(len(x) - 3)] + ["huge"] * 3
+    df = spark.createDataFrame([(i, v.tolist(), label) for i, (v, label) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label string")
+    want = all_links(list(range(len(x))), x, labels)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, block=64).collect()}
+    assert all(got[i][0] <= want[i][0] for i in got) and sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values()) > 0
+    assert sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("size", [4, 10, 16])
+def test_tables_find_pairs_at_the_threshold_at_any_size(size):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6000, 64)) @ rng.normal(size=(64, 64)) * 0.3 + rng.normal(size=64)
+    fitted, fresh = embedding_dedup.unit(base[:3000]), embedding_dedup.unit(base[3000:])
+    bits = 64
+    while True:
+        model = embedding_dedup.ITQ(fitted, 64, bits)
+        tables = embedding_dedup.tables_for(model.agreements(0.93), size)
+        if tables * size <= model.map.shape[1]:
+            break
+        bits = tables * size
+    u = rng.normal(size=fresh.shape)
+    u -= (u * fresh).sum(1, keepdims=True) * fresh
+    near = 0.93 * fresh + math.sqrt(1 - 0.93**2) * embedding_dedup.unit(u)
+    a, b = (embedding_dedup.substrings(model.bits(v), size, tables) for v in (fresh, near))
+    assert (a == b).any(1).mean() >= 0.98
 
 
 def test_packing(spark, sf, docs):

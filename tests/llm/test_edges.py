@@ -94,6 +94,9 @@ def test_embedding_edges(spark):
     alone = {(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)} | {(None, 0, None, True)}
     assert got == alone | {(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False)}
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(twice).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1, 2)]
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
