@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidelog.llm import attention_lm, byte_bpe, embedding_dedup, license_scan, lm_scoring, minhash_dedup, packing, quality, token_files
+from tidelog.llm import attention_lm, byte_bpe, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, token_files
 from tidelog.llm.common import crc_mod
 from tidelog.llm.components import components
 from tidelog.llm.language_id import query as language_query
@@ -472,13 +472,58 @@ def test_non_negative_risk_takes_only_positives():
     assert (net.g(draw(500, True)) > 0).mean() > 0.9 and (net.g(draw(500, False)) < 0).mean() > 0.9
 
 
+def plain_unlike(d):
+    """Ids that the language stage rejects, by plain steps from the operator's cosines."""
+    learned = {r["doc_id"] for r in d.collect() if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    rows = language_id.language_id(d, language_id.fit(d.where(crc_mod("doc_id", 4) != 2))).collect()
+    usual = defaultdict(list)
+    for r in rows:
+        if r["doc_id"] in learned and r["n_letters"] >= 256:
+            usual[r["n_letters"].bit_length()].append(r["score"])
+    median = {k: sorted(v)[(len(v) - 1) // 2] for k, v in usual.items()}
+    return {r["doc_id"] for r in rows if r["lang_pred"] == "und" or r["n_letters"] >= 256 and r["score"] < 0.5 * median.get(r["n_letters"].bit_length(), 0)}
+
+
+def test_language_stage_drops_junk_and_keeps_clean_texts(spark):
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{at}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, d, at).select("doc_id").collect()}
+    quality_of = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    gone = {r["doc_id"]: r["text"] for r in d.collect() if r["doc_id"] not in kept}
+    assert set(gone) == plain_unlike(d) and gone and not any(quality_of.get(i) == 1 for i in gone)
+
+
+def test_language_equals_plain_profiles(spark, sf, docs):
+    """Cosines from dictionaries of n-gram vectors, bound letter by letter."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    prototypes = language_id.fit(d)
+    letter = {}
+
+    def of(code):
+        if code not in letter:
+            letter[code] = np.random.default_rng([language_id.SEED, code]).integers(0, 2, language_id.DIM, np.int8) * 2.0 - 1
+        return letter[code]
+
+    for r in sorted(language_id.language_id(d, prototypes).collect(), key=lambda r: r["doc_id"])[:25]:
+        words = "".join(c if c.isalpha() else " " for c in docs[r["doc_id"]].lower()).split()
+        text = " " + " ".join(words) + " "
+        grams = Counter(text[i : i + 3] for i in range(len(text) - 2)) if words else Counter()
+        v = sum((n**0.5 * of(ord(g[0])) * np.roll(of(ord(g[1])), 1) * np.roll(of(ord(g[2])), 2) for g, n in grams.items()), np.zeros(language_id.DIM))
+        assert r["n_letters"] == sum(map(len, words))
+        if words:
+            cosines = {k: float(p @ v / np.linalg.norm(v)) for k, p in prototypes.items()}
+            assert r["lang_pred"] == max(cosines, key=cosines.get) and math.isclose(r["score"], max(cosines.values()), rel_tol=1e-4)
+
+
 def test_pipeline_against_plain_steps(spark, sf, docs):
     import corpus_pipeline
 
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a = corpus_pipeline.language(spark, d, sf)
     kept = {r["doc_id"] for r in a.collect()}
-    assert kept >= {i for i, t in docs.items() if sum(c.isalpha() for c in t) > 30} and all(any(c.isalpha() for c in docs[i]) for i in kept)
+    assert kept == set(docs) - plain_unlike(d)
     b = corpus_pipeline.good(spark, a, sf)
     texts = {r["doc_id"]: r["text"] for r in b.collect()}
     told = quality.quality(a, spark.read.parquet(f"{sf}/labels.parquet"), lambda c: crc_mod(c, 5) != 0).collect()

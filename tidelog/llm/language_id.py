@@ -67,9 +67,10 @@ class Profiles:
         return got[np.concatenate([[True], (got[1:] != 0) | (got[:-1] != 0)])]
 
     def vector(self, text: str) -> np.ndarray | None:
-        """The bundle of the text as a unit vector; None without letters."""
+        """The bundle of the text as a unit vector; None without letters. n_seen is then the number of its letters."""
         codes = self.codes(text)
-        if not codes.any():
+        self.n_seen = int(np.count_nonzero(codes))
+        if not self.n_seen:
             return None
         keys = np.zeros(len(codes) - self.gram + 1, np.int64) if len(codes) >= self.gram else np.zeros(0, np.int64)
         for j in range(self.gram):
@@ -133,7 +134,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", more: tuple[tuple[str, Column, str], ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, and the columns more (name, expression over docs, type) passed through."""
+    """One row per input row: doc_id, lang_pred, score, n_letters, and the columns more (name, expression over docs, type) passed through."""
     langs = sorted(prototypes)
     table = np.stack([prototypes[x] for x in langs]) if langs else None
     names = [n for n, _, _ in more]
@@ -142,23 +143,33 @@ def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str
         profiles = Profiles()
 
         def one(text):
-            v = profiles.vector(text) if table is not None else None
-            if v is None:
-                return UNKNOWN, 0.0
+            v = profiles.vector(text)
+            if v is None or table is None:
+                return UNKNOWN, 0.0, profiles.n_seen
             cosines = table @ v
             best = int(cosines.argmax())
-            return langs[best], float(min(1.0, max(0.0, cosines[best])))
+            return langs[best], float(min(1.0, max(0.0, cosines[best]))), profiles.n_seen
 
         def work(ids, texts, *others):
             got = [one(t) for t in texts]
-            return {"doc_id": ids, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]} | {n: o for n, o in zip(names, others, strict=True)}
+            return {"doc_id": ids, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "n_letters": [g[2] for g in got]} | {n: o for n, o in zip(names, others, strict=True)}
 
         return work
 
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", `{n}` {kind}" for n, _, kind in more)
+    schema = "doc_id long, lang_pred string, score double, n_letters long" + "".join(f", `{n}` {kind}" for n, _, kind in more)
     return map_texts(docs, id_col, text_col, make, schema, tuple(c for _, c, _ in more))
 
 
+def unlike(found: DataFrame, least: int = 256, share: float = 0.5) -> DataFrame:
+    """doc_id (not null) of texts in no language that was learned: those without letters, and those of `least` letters or more whose cosine
+    is under `share` of the median cosine of learned texts of like length (the same power of two), as that of one word repeated, of
+    noise, or of a language not learned is; shorter texts stay, as no cosine tells. found: language_id with a column learned."""
+    found = found.withColumn("power", F.floor(F.log2(F.greatest("n_letters", F.lit(1)))))
+    usual = found.where(f"learned AND n_letters >= {least}").groupBy("power").agg(F.percentile_approx("score", 0.5, 1000).alias("usual"))  # at most 63 rows
+    bad = (F.col("lang_pred") == UNKNOWN) | ((F.col("n_letters") >= least) & (F.col("score") < share * F.col("usual")))
+    return found.join(F.broadcast(usual), "power", "left").where(bad & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_mod("doc_id", 4) == 2
