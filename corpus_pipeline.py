@@ -3,11 +3,12 @@
 Every stage works on the whole output of the one before, which was written as Parquet and reread. The filtering stages return
 the columns of documents, whatever these are, and drop whole rows only:
 
-- language: texts without a letter go; one in a language not learned stays, as no cosine tells it from a short clean text;
+- language: texts without a letter go, and long ones whose cosine is far under that of learned texts of their length (`unlike`);
 - quality: texts with a score under 0.3 go;
 - exact: of equal texts the smallest doc_id stays; near: of each component of near copies the smallest doc_id stays.
 
-Rows with a null doc_id can't be told apart by id and pass all filters. Rows that repeat an id pass or go together.
+Rows with a null doc_id can't be told apart by id and pass all filters. Rows that repeat an id pass or go together. An empty table
+passes every stage as an empty one; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, kept_rows, work_dir, written
+from tidelog.llm.common import crc_mod, kept_rows, remove, scratch, work_dir, written
 from tidelog.llm.exact_dedup import without_copies
-from tidelog.llm.language_id import UNKNOWN, fit, language_id
+from tidelog.llm.language_id import fit, language_id, unlike
 from tidelog.llm.minhash_dedup import without_near_copies
 from tidelog.llm.packing import pack
 from tidelog.llm.quality import quality
@@ -26,8 +27,10 @@ from tidelog.llm.quality import quality
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3, learning from the rows that may be learned from."""
-    found = language_id(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
-    rejected = written(found.where((F.col("lang_pred") == UNKNOWN) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    learn = crc_mod("doc_id", 4) != 2
+    with scratch(spark):
+        found = written(language_id(docs, fit(docs.where(learn)), more=(("learned", learn & F.col("lang").isNotNull(), "boolean"),)))
+        rejected = written(unlike(found), keep=True)
     return kept_rows(docs, "doc_id", rejected, "left_anti")
 
 
@@ -61,9 +64,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{work_dir(spark)}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)  # only the last stage's table is still read
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
