@@ -219,7 +219,7 @@ def rest_links(rest: DataFrame, sets: DataFrame, threshold: float, small: int) -
         pairs = pairs.distinct().join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b")
         new = verified(pairs, sets, threshold)
         if turn == ROUNDS and not many.isEmpty():
-            new = new.unionByName(blocked(many, sets, threshold))
+            new = new.unionByName(blocked(many.join(size, "e"), sets, threshold))
         found = new if found is None else found.unionByName(new)
         hubs = written(hubs_of(many, "e", "shared").select("e", F.explode("hubs").alias("rep")))
         posts = written(contracted(many.join(hubs, ["e", "rep"], "left_anti") if turn < ROUNDS else many.limit(0), rest, found))
@@ -263,8 +263,8 @@ def postings(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def blocked(posts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between components within each posting, by pairs of blocks of about BLOCK sets; a pair of blocks gives a forest of them."""
-    blocks = posts.withColumn("of", F.expr(f"int(ceil(count(*) OVER (PARTITION BY e) / {BLOCK}))")).withColumn("own", F.pmod(F.xxhash64("rep"), "of").cast("int"))
+    """Links between components within each posting (of `size` sets), by pairs of blocks of about BLOCK sets; a pair of blocks gives a forest of them."""
+    blocks = posts.withColumn("of", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn("own", F.pmod(F.xxhash64("rep"), "of").cast("int"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
     cells = cells.join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
 
