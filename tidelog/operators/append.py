@@ -37,11 +37,24 @@ def segments(log: DataFrame) -> DataFrame:
     )
 
 
+def running_max_before(df: DataFrame, key: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+    """df with out: the maximum of value over the earlier rows of key in (bucket, order); in two phases, as running_total."""
+    tops = df.groupBy(key, bucket).agg(F.max(value).alias("__top"))
+    outer = F.max("__top").over(Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.max(value).over(Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("__inner", inner).join(tops.select(key, bucket, outer.alias("__outer")), [key, bucket]).withColumn(out, F.greatest("__inner", "__outer")).drop("__inner", "__outer")
+
+
+def places(requests: DataFrame) -> DataFrame:
+    """requests with place (of its first record in its segment) and n_records: 1 each unless the requests tell (record_count)."""
+    n = F.col("record_count") if "record_count" in requests.columns else F.lit(1)
+    before = F.sum("n_records").over(Window.partitionBy("flush_id", "topic_id", "schema_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("n_records", n.cast("long")).withColumn("place", (before - F.col("n_records")).cast("long"))
+
+
 def merged(requests: DataFrame) -> DataFrame:
     """flush_id, topic_id, schema_id, writer_id, start_idx, record_count: where a writer's first record lies in its segment."""
-    place = F.row_number().over(Window.partitionBy("flush_id", "topic_id", "schema_id").orderBy("event_id")) - 1
-    numbered = requests.withColumn("place", place)
-    return numbered.groupBy("flush_id", "topic_id", "schema_id", "writer_id").agg(F.min("place").cast("long").alias("start_idx"), F.count("*").alias("record_count"))
+    return places(requests).groupBy("flush_id", "topic_id", "schema_id", "writer_id").agg(F.min("place").alias("start_idx"), F.sum("n_records").alias("record_count"))
 
 
 def coalesced(arrivals: DataFrame) -> DataFrame:
@@ -54,10 +67,8 @@ def classified(arrivals: DataFrame, pipelined: bool = False) -> DataFrame:
 
     pipelined: a stale request passes if a larger number of the writer arrives later in its flush.
     """
-    by = Window.partitionBy("writer_id").orderBy("arrival")
-    last = F.max("append_seq").over(by.rowsBetween(Window.unboundedPreceding, -1))
     later = F.max("append_seq").over(Window.partitionBy("writer_id", "flush_id").orderBy("arrival").rowsBetween(1, Window.unboundedFollowing))
-    rows = arrivals.withColumn("last", last).withColumn("later", later)
+    rows = running_max_before(arrivals, "writer_id", "flush_id", ["arrival"], "append_seq", "last").withColumn("later", later)
     stale = F.when(F.col("later") > F.col("append_seq"), "ACCEPT").otherwise("STALE") if pipelined else F.lit("STALE")
     seq = F.col("append_seq")
     decision = F.when(F.col("last").isNull() | (seq > F.col("last")), "ACCEPT").when(seq == F.col("last"), "DUPLICATE").otherwise(stale)
@@ -65,12 +76,11 @@ def classified(arrivals: DataFrame, pipelined: bool = False) -> DataFrame:
 
 
 def acks(requests: DataFrame, index: DataFrame) -> DataFrame:
-    """The offsets [start, end) that each request got in its segment."""
-    place = F.row_number().over(Window.partitionBy("flush_id", "topic_id", "schema_id").orderBy("event_id")) - 1
+    """The offsets [start, end) that each request got in its segment: as many as it has records."""
     at = index.select("topic_id", "flush_id", "schema_id", F.col("start_offset").alias("__start"))
-    rows = requests.withColumn("place", place).join(at, ["topic_id", "flush_id", "schema_id"])
+    rows = places(requests).join(at, ["topic_id", "flush_id", "schema_id"])
     start = (F.col("__start") + F.col("place")).cast("long")
-    return rows.select("writer_id", "append_seq", "topic_id", "schema_id", start.alias("start_offset"), (start + 1).alias("end_offset"))
+    return rows.select("writer_id", "append_seq", "topic_id", "schema_id", start.alias("start_offset"), (start + F.col("n_records")).alias("end_offset"))
 
 
 def writer_state(old: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -78,5 +88,29 @@ def writer_state(old: DataFrame, accepted: DataFrame) -> DataFrame:
     return old.unionByName(accepted.groupBy("writer_id").agg(F.max("append_seq").alias("last_seq"))).groupBy("writer_id").agg(F.max("last_seq").alias("last_seq"))
 
 
+def writer_acks(old: DataFrame, acked: DataFrame) -> DataFrame:
+    """writer_id, last_seq, last_start, last_end: the acknowledged range of each writer's highest sequence number.
+
+    old: these columns; acked: the rows of acks. State moves on, never back; of equal numbers the old state's acknowledgement
+    stays, then the one with the smaller start (it was given first)."""
+    new = acked.groupBy("writer_id").agg(F.max(F.struct(F.col("append_seq").alias("s"), (-F.col("start_offset")).alias("x"), F.col("end_offset").alias("e"))).alias("m"))
+    new = new.select("writer_id", F.col("m.s").alias("last_seq"), (-F.col("m.x")).alias("last_start"), F.col("m.e").alias("last_end"), F.lit(0).alias("was"))
+    both = old.withColumn("was", F.lit(1)).unionByName(new)
+    best = both.groupBy("writer_id").agg(F.max(F.struct("last_seq", "was", "last_start", "last_end")).alias("m"))
+    return best.select("writer_id", "m.last_seq", "m.last_start", "m.last_end")
+
+
+def answered(arrivals: DataFrame, state: DataFrame, fail_open: bool = True) -> DataFrame:
+    """arrival, writer_id, append_seq, decision, start_offset, end_offset against the stored state of writer_acks: a DUPLICATE is answered
+    with the stored acknowledgement. A writer whose state can't be read (column failed of the state) is accepted if fail_open, else ERROR."""
+    failed = F.col("failed") if "failed" in state.columns else F.lit(False)
+    rows = arrivals.join(state.withColumn("__failed", failed).select("writer_id", "last_seq", "last_start", "last_end", "__failed"), "writer_id", "left")
+    seq = F.col("append_seq")
+    decision = F.when(F.col("__failed"), "ACCEPT" if fail_open else "ERROR").when(F.col("last_seq").isNull() | (seq > F.col("last_seq")), "ACCEPT").when(seq == F.col("last_seq"), "DUPLICATE").otherwise("STALE")
+    rows = rows.withColumn("decision", decision)
+    known = F.col("decision") == "DUPLICATE"
+    return rows.select("arrival", "writer_id", "append_seq", "decision", F.when(known, F.col("last_start")).alias("start_offset"), F.when(known, F.col("last_end")).alias("end_offset"))
+
+
 def bytes_by_writer(log: DataFrame) -> DataFrame:
     return log.groupBy("writer_id").agg(F.sum("size").alias("bytes"))

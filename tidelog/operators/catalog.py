@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalar import is_admin, principal_kind
+from tidelog.operators.append import running_total
+
+#: Arrivals in a block of a two-phase rank.
+RANKED = 65_536
 
 
 def latest_schema(topic_schemas: DataFrame) -> DataFrame:
@@ -51,11 +55,12 @@ def acl_decision(requests: DataFrame, acls: DataFrame) -> DataFrame:
     wildcard deny, which beats a wildcard allow; without an entry: denied. Administrators are always allowed.
     """
     keys = ["principal", "resource_type", "resource_name", "operation"]
-    a = acls.toDF(*("a_" + c for c in acls.columns))
-    match = (F.col("principal") == F.col("a_principal")) & (F.col("resource_type") == F.col("a_resource_type")) & ((F.col("a_operation") == F.col("operation")) | (F.col("a_operation") == "*")) & ((F.col("a_resource_name") == F.col("resource_name")) | (F.col("a_resource_name") == "*"))
-    named, deny = F.col("a_resource_name") != "*", F.col("a_permission") == "deny"
+    own = lambda c: F.explode(F.array_distinct(F.array(c, F.lit("*"))))
+    wanted = requests.distinct().select(*keys, own("resource_name").alias("__name")).select(*keys, "__name", own("operation").alias("__operation"))  # up to four keys each: equi-joins
+    a = acls.select(F.col("principal"), F.col("resource_type"), F.col("resource_name").alias("__name"), F.col("operation").alias("__operation"), "permission")
+    named, deny = F.col("__name") != "*", F.col("permission") == "deny"
     flag = lambda x, name: F.coalesce(F.bool_or(x), F.lit(False)).alias(name)
-    rows = requests.join(a, match, "left").groupBy(*keys).agg(flag(named & deny, "nd"), flag(named & ~deny, "na"), flag(~named & deny, "wd"), flag(~named & ~deny, "wa"))
+    rows = wanted.join(a, ["principal", "resource_type", "__name", "__operation"], "left").groupBy(*keys).agg(flag(named & deny, "nd"), flag(named & ~deny, "na"), flag(~named & deny, "wd"), flag(~named & ~deny, "wa"))
     allowed = F.when(is_admin(F.col("principal")), True).when(F.col("nd"), False).when(F.col("na"), True).when(F.col("wd"), False).otherwise(F.col("wa"))
     return rows.select(*keys, allowed.alias("allowed"))
 
@@ -79,7 +84,10 @@ def principals(names: DataFrame) -> DataFrame:
 
 
 def numbered_schemas(rows: DataFrame) -> DataFrame:
-    """Registration: topic_id, schema_id for rows (topic_id, schema_json, at); equal JSON has one id, numbered from 100 by first sight."""
+    """Registration: topic_id, schema_id for rows (topic_id, schema_json, at); equal JSON has one id, numbered from 100 by first sight.
+
+    Ranks in two phases: by blocks of RANKED arrivals, then within a block."""
     first = rows.withColumn("h", F.sha2("schema_json", 256)).groupBy("h").agg(F.min("at").alias("first"))
-    ids = first.withColumn("schema_id", (F.row_number().over(Window.orderBy("first")) + 99).cast("long"))
+    first = first.select("*", F.lit(0).alias("__all"), F.expr(f"first div {RANKED}").alias("__block"), F.lit(1).alias("__one"))
+    ids = running_total(first, "__all", "__block", ["first"], "__one", "rank").select("h", (F.col("rank") + 99).alias("schema_id"))
     return rows.withColumn("h", F.sha2("schema_json", 256)).join(ids, "h").select("topic_id", "schema_id").distinct()

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.append import running_total
 from tidelog.operators.tables import cut
 
+#: Offsets, and segments, in a block of the two-phase windows.
+OFFSETS, SEGMENTS = 65_536, 1_000
+
 
 def joined(members: DataFrame, requests: DataFrame) -> DataFrame:
     """Members after join requests (group_id, reader_id, heartbeat_us): inserted if absent, else the heartbeat moves on."""
@@ -69,11 +73,15 @@ def force_reset(cursors: DataFrame, inflight: DataFrame) -> DataFrame:
 
 def grants(index: DataFrame, max_bytes: int, most: int = 10) -> DataFrame:
     """For each segment the range a poll would lease if the cursor stood at its start: segments until max_bytes (the crossing one
-    included), `most` at the most. topic_id, start_offset, end_offset, n_segments."""
-    by = Window.partitionBy("topic_id").orderBy("start_offset")
+    included), `most` at the most. topic_id, start_offset, end_offset, n_segments. Segments are dealt in blocks, so no topic is one task."""
+    seg = index.select("topic_id", "start_offset", "end_offset", "byte_length", F.expr(f"start_offset div {OFFSETS}").alias("__coarse"), F.lit(1).alias("__one"))
+    seg = running_total(seg, "topic_id", "__coarse", ["start_offset"], "__one", "n").withColumn("block", F.expr(f"(n - 1) div {SEGMENTS}"))
+    late = seg.where((F.col("block") > 0) & (F.expr(f"(n - 1) % {SEGMENTS}") < most - 1)).withColumn("block", F.col("block") - 1)  # what the block before looks ahead to
+    index = seg.withColumn("own", F.lit(True)).unionByName(late.withColumn("own", F.lit(False)))
+    by = Window.partitionBy("topic_id", "block").orderBy("start_offset")
     ahead = F.collect_list(F.struct("end_offset", "byte_length")).over(by.rowsBetween(0, most - 1))
     n = F.expr("aggregate(ahead, named_struct('n', 0, 'b', 0L), (a, x) -> IF(a.b >= {0}, a, named_struct('n', a.n + 1, 'b', a.b + x.byte_length)), a -> a.n)".format(int(max_bytes)))
-    rows = index.select("topic_id", "start_offset", ahead.alias("ahead")).withColumn("n", n)
+    rows = index.select("topic_id", "start_offset", "own", ahead.alias("ahead")).where("own").withColumn("n", n)
     return rows.select("topic_id", "start_offset", F.expr("ahead[n - 1].end_offset").alias("end_offset"), F.col("n").cast("long").alias("n_segments"))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.append import running_total
+
+#: Offsets in a block of the two-phase windows.
+BLOCK = 65_536
+
 
 def lookup(index: DataFrame, start: int, end: int | None = None, limit: int = 10) -> DataFrame:
     """Per topic the first `limit` segments that reach beyond start (and begin before end)."""
@@ -34,20 +39,33 @@ def from_offset(records: DataFrame, start: int, end: int | None = None) -> DataF
 def within_budget(records: DataFrame, start: int, max_bytes: int) -> DataFrame:
     """Records from start on while those before are under max_bytes: the one that crosses is included, so there is one at least.
 
-    Every record has a byte or more, so no offset beyond start + max_bytes can be in the answer; only that range is summed.
+    Two phases: bytes by blocks of offsets first, then single records of the blocks that begin within the budget. Records without
+    a byte cost nothing, so any number of them may be in the answer.
     """
-    near = records.where((F.col("offset") >= start) & (F.col("offset") <= start + max_bytes))
-    before = F.sum("size").over(Window.partitionBy("topic_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return near.select("topic_id", "offset", "size", before.cast("long").alias("running_before")).where(F.col("running_before") < max_bytes)
+    near = records.where(F.col("offset") >= start).withColumn("__block", F.expr(f"offset div {BLOCK}"))
+    sums = near.groupBy("topic_id", "__block").agg(F.sum("size").alias("__sum"))
+    ahead = sums.select("topic_id", "__block", (F.sum("__sum").over(Window.partitionBy("topic_id").orderBy("__block")) - F.col("__sum")).alias("__ahead")).where(F.col("__ahead") < max_bytes)
+    inner = F.sum("size").over(Window.partitionBy("topic_id", "__block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    rows = near.join(ahead, ["topic_id", "__block"]).withColumn("running_before", (F.col("__ahead") + inner).cast("long"))
+    return rows.select("topic_id", "offset", "size", "running_before").where(F.col("running_before") < max_bytes)
 
 
 def schema_runs(index: DataFrame, topics: DataFrame) -> DataFrame:
-    """Runs of one schema along the offsets of a topic (gaps and islands), over segments: a segment has one schema."""
-    by = Window.partitionBy("topic_id").orderBy("start_offset")
-    change = F.when(F.col("schema_id") == F.lag("schema_id").over(by), 0).otherwise(1)
-    rows = index.withColumn("__change", change).withColumn("run_no", F.sum("__change").over(by).cast("long"))
+    """Runs of one schema along the offsets of a topic (gaps and islands), over segments: a segment has one schema.
+
+    Two phases: a block of offsets takes the schema before it from the last segment of the block before, then runs are numbered by a
+    running total of the changes. A topic without segments has one row: schema 0, no records.
+    """
+    rows = index.withColumn("__block", F.expr(f"start_offset div {BLOCK}"))
+    last = rows.groupBy("topic_id", "__block").agg(F.max_by("schema_id", "start_offset").alias("__last"))
+    before = last.select("topic_id", "__block", F.lag("__last").over(Window.partitionBy("topic_id").orderBy("__block")).alias("__prior"))
+    own = F.coalesce(F.lag("schema_id").over(Window.partitionBy("topic_id", "__block").orderBy("start_offset")), "__prior")
+    rows = rows.join(before, ["topic_id", "__block"]).withColumn("__change", F.when(F.col("schema_id") == own, 0).otherwise(1))
+    rows = running_total(rows, "topic_id", "__block", ["start_offset"], "__change", "run_no")
     runs = rows.groupBy("topic_id", "run_no", "schema_id").agg(F.min("start_offset").alias("first_offset"), (F.max("end_offset") - 1).alias("last_offset"), F.sum("record_count").alias("n"))
-    return runs.join(high_watermark(topics, index), "topic_id")
+    number = lambda n: F.lit(n).cast("long")
+    none = topics.select("topic_id").join(index.select("topic_id").distinct(), "topic_id", "left_anti").select("topic_id", number(1).alias("run_no"), number(0).alias("schema_id"), number(0).alias("first_offset"), number(-1).alias("last_offset"), number(0).alias("n"))
+    return runs.unionByName(none).join(high_watermark(topics, index), "topic_id")
 
 
 def tail(records: DataFrame, n: int) -> DataFrame:

@@ -69,16 +69,22 @@ class LogModel:
         """One row: the last ingest time, which stands for now."""
         return self.log.agg(F.max("ts_us").alias("now_us"))
 
+    @cached_property
+    def dispatched(self) -> DataFrame:
+        """index, with the end hw of the topic, of the segments before the dispatch cursor."""
+        hw = self.index.groupBy("topic_id").agg(F.max("end_offset").alias("hw"))
+        return self.index.join(hw, "topic_id").where("end_offset * 4 <= hw * 3")
+
     @cached_property
     def cursors(self) -> DataFrame:
-        """group_id, topic_id, dispatch_cursor: everything before flush 100 is dispatched."""
-        done = self.index.where("flush_id < 100").groupBy("topic_id").agg(F.max("end_offset").alias("dispatch_cursor"))
+        """group_id, topic_id, dispatch_cursor: of each topic the segments that end in the first three quarters of its offsets are dispatched."""
+        done = self.dispatched.groupBy("topic_id").agg(F.max("end_offset").alias("dispatch_cursor"))
         return self.topics.join(done, "topic_id", "left").select(F.lit("g1").alias("group_id"), "topic_id", F.coalesce("dispatch_cursor", F.lit(0)).cast("long").alias("dispatch_cursor"))
 
     @cached_property
     def inflight(self) -> DataFrame:
-        """Leases: every fifth flush of what is dispatched, spread over three readers."""
-        seg = self.index.where("flush_id < 100 AND flush_id % 5 = 2")
+        """Leases: all that is dispatched beyond the middle of the topic, spread over three readers; what lies before is committed."""
+        seg = self.dispatched.where("start_offset * 2 >= hw")
         reader = F.concat(F.lit("r"), (F.col("flush_id") % 3).cast("string"))
         return seg.select(F.lit("g1").alias("group_id"), "topic_id", "start_offset", "end_offset", reader.alias("reader_id"), (F.col("ingest_us") + LEASE_US).alias("expires_us"))
 

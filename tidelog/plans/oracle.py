@@ -19,8 +19,8 @@ PARTS = {
     "rec": "SELECT l.*, start_offset, start_offset + row_number() OVER (PARTITION BY topic_id, flush_id, schema_id ORDER BY event_id) - 1 AS \"offset\" FROM log l JOIN idx USING (topic_id, flush_id, schema_id)",
     "hw": "SELECT topic_id, coalesce(max(end_offset), 0) AS high_watermark FROM topics LEFT JOIN idx USING (topic_id) GROUP BY topic_id",
     "now": "SELECT max(ts_us) AS now_us FROM log",
-    "cursors": "SELECT 'g1' AS group_id, topic_id, coalesce(max(end_offset), 0) AS dispatch_cursor FROM topics LEFT JOIN (SELECT * FROM idx WHERE flush_id < 100) USING (topic_id) GROUP BY topic_id",
-    "inflight": "SELECT 'g1' AS group_id, topic_id, start_offset, end_offset, 'r' || (flush_id % 3) AS reader_id, ingest_us + 45000000 AS expires_us FROM idx WHERE flush_id < 100 AND flush_id % 5 = 2",
+    "cursors": "SELECT 'g1' AS group_id, t.topic_id, (SELECT coalesce(max(end_offset), 0) FROM idx i WHERE i.topic_id = t.topic_id AND end_offset * 4 <= 3 * (SELECT high_watermark FROM hw WHERE hw.topic_id = t.topic_id)) AS dispatch_cursor FROM topics t",
+    "inflight": "SELECT 'g1' AS group_id, topic_id, start_offset, end_offset, 'r' || (flush_id % 3) AS reader_id, ingest_us + 45000000 AS expires_us FROM idx JOIN hw USING (topic_id) WHERE end_offset * 4 <= high_watermark * 3 AND start_offset * 2 >= high_watermark",
     "members": "SELECT 'g1' AS group_id, 'r' || (writer_id % 3) AS reader_id, max(ts_us) - CASE WHEN writer_id % 3 = 2 THEN 31000000 ELSE 0 END AS heartbeat_us FROM log GROUP BY writer_id % 3",
     "claims": "SELECT batch_id, CASE WHEN flush_id % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, ingest_us AS claimed_us FROM idx WHERE flush_id % 3 < 2",
     "tschemas": "SELECT topic_id, schema_id, min(ts_us) AS created_us FROM log GROUP BY ALL",
@@ -99,7 +99,7 @@ SQL = {
     "read_max_bytes": 'SELECT * FROM (SELECT topic_id, "offset", size, CAST(sum(size) OVER (PARTITION BY topic_id ORDER BY "offset") - size AS BIGINT) AS running_before FROM rec WHERE "offset" >= 100) WHERE running_before < 4096',
     "schema_runs": """WITH c AS (SELECT topic_id, "offset" AS o, schema_id, CASE WHEN schema_id = lag(schema_id) OVER t THEN 0 ELSE 1 END AS ch FROM rec WINDOW t AS (PARTITION BY topic_id ORDER BY "offset")),
         r AS (SELECT *, sum(ch) OVER (PARTITION BY topic_id ORDER BY o) AS run_no FROM c)
-        SELECT topic_id, CAST(run_no AS BIGINT) AS run_no, schema_id, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n, any_value(high_watermark) AS high_watermark FROM r JOIN hw USING (topic_id) GROUP BY topic_id, run_no, schema_id""",
+        SELECT topic_id, CAST(run_no AS BIGINT) AS run_no, schema_id, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n, any_value(high_watermark) AS high_watermark FROM r JOIN hw USING (topic_id) GROUP BY topic_id, run_no, schema_id UNION ALL SELECT 99, 1, 0, 0, -1, 0, 0""",
     "flagship": """WITH b AS (SELECT topic_id, "offset" AS o, schema_id, sum(size) OVER (ORDER BY "offset") - size AS before FROM rec WHERE topic = 'purchase' AND "offset" >= 50),
         c AS (SELECT *, CASE WHEN schema_id = lag(schema_id) OVER (ORDER BY o) THEN 0 ELSE 1 END AS ch FROM b WHERE before < 16384), r AS (SELECT *, sum(ch) OVER (ORDER BY o) AS run_no FROM c)
         SELECT topic_id, CAST(run_no AS BIGINT) AS run_no, schema_id, min(o) AS first_offset, max(o) AS last_offset, count(*) AS n, any_value(high_watermark) AS high_watermark FROM r JOIN hw USING (topic_id) GROUP BY topic_id, run_no, schema_id""",
@@ -142,7 +142,7 @@ SQL = {
     "schema_diff": "SELECT * FROM (VALUES ('t', 'RENAME', 'new_id', 'old_id'), ('t', 'DELETE', 'removed', ''), ('t', 'WIDEN', 'new_id', 'int>long'), ('o', 'WIDEN', 'amount', 'float>double'), ('t', 'ADD', 'added', 'string'), ('o', 'ADD', 'extra', 'int')) v(table_name, op, column_name, detail)",
     "schema_hash": "SELECT event_id, sha256(props) AS hash FROM events",
     "schema_register": "WITH f AS (SELECT value, row_number() OVER (ORDER BY min(event_id)) + 99 AS schema_id FROM log GROUP BY value) SELECT DISTINCT topic_id, f.schema_id FROM log JOIN f USING (value)",
-    "enum_compat": "WITH s AS (SELECT topic_id, schema_id, bool_or(event_id < 5000) AS w, bool_or(event_id >= 5000) AS r FROM log GROUP BY 1, 2) SELECT topic_id, NOT bool_or(w AND NOT r) AS compatible FROM s GROUP BY 1",
+    "enum_compat": "WITH s AS (SELECT topic_id, schema_id, bool_or(event_id * 2 < (SELECT max(event_id) FROM log)) AS w, bool_or(event_id * 2 >= (SELECT max(event_id) FROM log)) AS r FROM log GROUP BY 1, 2) SELECT topic_id, NOT bool_or(w AND NOT r) AS compatible FROM s GROUP BY 1",
     "avro_roundtrip": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "schema_fingerprint": "SELECT event_id, sha256(replace(props, ' ', '')) AS hash FROM events",
     "schema_compat_matrix": "SELECT CAST(n AS BIGINT) AS new_version, CAST(o AS BIGINT) AS old_version, (n >= o) AS compatible FROM (VALUES (1), (2), (3)) a(n), (VALUES (1), (2), (3)) b(o) WHERE (n, o) <> (2, 3) UNION ALL VALUES (2, 3, true)",
@@ -153,12 +153,12 @@ SQL = {
     "api_key_status": "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'bad_' || md5(c_name) ELSE 'tb_' || md5(c_name) || '_secret' END AS api_key, CASE WHEN c_custkey % 10 = 0 THEN 'MALFORMED' WHEN c_custkey % 7 = 0 THEN 'REVOKED' WHEN c_custkey % 5 * 100 <= 200 THEN 'EXPIRED' ELSE 'VALID' END AS status FROM customer",
     "principal_parse": "SELECT principal, CASE WHEN contains(principal, ':') THEN split_part(principal, ':', 1) END AS kind, principal = 'admin' OR starts_with(principal, 'admin:') AS is_admin FROM (SELECT DISTINCT 'user:' || c_mktsegment AS principal FROM customer UNION ALL VALUES ('admin'), ('admin:x'), ('service:a:b'), ('plain'))",
     "error_codes": "SELECT family, CAST(code AS BIGINT) AS code, name, retryable FROM (VALUES " + ", ".join([f"('service', {k}, '{v}', {str(k in RETRYABLE).lower()})" for k, v in ERROR_CODES.items()] + [f"('wire', {k}, '{v}', false)" for k, v in WIRE_CODES.items()]) + ") v(family, code, name, retryable)",
-    "latency_quantiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY 1",
+    "latency_quantiles": "SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.99), 6) AS p99, round(quantile_disc(value, 0.999), 6) AS p999 FROM events GROUP BY 1",
 }
 
 for _b, _n in (("0", ""), ("1", "_broken")):
     SQL |= {
-        "inv_visible" + _n: f'SELECT w.topic_id, w."offset", w.value FROM w{_b} w JOIN hw USING (topic_id) WHERE w."offset" < high_watermark AND NOT EXISTS (SELECT 1 FROM s{_b} s WHERE s.topic_id = w.topic_id AND s.value = w.value)',
+        "inv_visible" + _n: f'SELECT w.topic_id, w."offset", w.value FROM w{_b} w JOIN hw USING (topic_id) WHERE w."offset" < high_watermark AND w.end_us < (SELECT max(event_id) * 750 FROM log) AND NOT EXISTS (SELECT 1 FROM s{_b} s WHERE s.topic_id = w.topic_id AND s.value = w.value)',
         "inv_unique_offsets" + _n: f'SELECT topic_id, "offset", count(*) AS n FROM w{_b} GROUP BY 1, 2 HAVING count(*) > 1',
         "inv_watermark_monotonic" + _n: f"SELECT reader_id, topic_id, read_no, before, high_watermark FROM (SELECT *, lag(high_watermark) OVER (PARTITION BY reader_id, topic_id ORDER BY read_no) AS before FROM r{_b}) WHERE high_watermark < before",
         "inv_no_duplicates" + _n: f'SELECT topic_id, value, count(DISTINCT "offset") AS n_offsets FROM w{_b} GROUP BY 1, 2 HAVING count(DISTINCT "offset") > 1',
