@@ -25,3 +25,70 @@ def test_sink_is_idempotent_and_ignores_unfinished_batches(spark, tmp_path):
     write(df, 2)
     (tmp_path / "t/batch=2/_SUCCESS").unlink()
     assert committed(spark, str(tmp_path / "t")).count() == 10
+
+
+COMMANDS = "group_id string, topic_id long, at_us long, seq long, kind string, reader_id string, start_offset long, end_offset long, bytes long"
+
+
+def command_rows():
+    """Two groups on a topic of 40 segments: two readers poll in turn, one falls silent, the other goes on, leases expire."""
+    out = [(g, 1, 0, k, "segment", "", 10 * k, 10 * k + 10, 100) for g in ("a", "b") for k in range(40)]
+    at = 1
+    for g in ("a", "b"):
+        out += [(g, 1, 1, 100, "join", "x", None, None, None), (g, 1, 1, 101, "join", "y", None, None, None)]
+    for k in range(6):
+        at += 20
+        for g in ("a", "b"):
+            who = "xy"[k % 2] if k < 2 else "x"
+            out += [(g, 1, at, 200 + 10 * k, "poll", who, None, None, 250), (g, 1, at, 201 + 10 * k, "heartbeat", who, None, None, None), *([(g, 1, at, 202, "poll", "z", None, None, 250), (g, 1, at, 203, "heartbeat", "z", None, None, None)] if k == 0 else [])]
+            if g == "a" and k == 0:
+                out.append((g, 1, at, 205 + 10 * k, "commit", who, 30 * k, 30 * k + 30, None))
+    out.append(("a", 1, at + 5, 900, "leave", "x", None, None, None))
+    return out
+
+
+def plain_steps(spark, commands):
+    """The answers by operators.groupstate, command by command."""
+    from tidelog.operators import groupstate as gs
+
+    limits = {"lease_us": 45, "max_inflight": 3}
+    frame = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    fixed = lambda df, schema: frame(schema, *map(tuple, df.select(*(c.split()[0] for c in schema.split(", "))).collect()))
+    schemas = "group_id string, reader_id string, heartbeat_us long", "group_id string, topic_id long, start_offset long, end_offset long, reader_id string, expires_us long", "group_id string, topic_id long, dispatch_cursor long"
+    state = gs.State(*(frame(s) for s in schemas))
+    index = frame("topic_id long, start_offset long, end_offset long, byte_length long", *((1, r[6], r[7], r[8]) for r in commands if r[4] == "segment")).cache()
+    out = {}
+    for g, topic, at, seq, kind, reader, start, end, size in sorted((r for r in commands if r[4] != "segment"), key=lambda r: (r[2], r[3])):
+        one = frame("group_id string, topic_id long, reader_id string, start_offset long, end_offset long", (g, topic, reader, start, end))
+        answer = None
+        if kind == "join":
+            state = gs.join(state, one, at)
+        elif kind == "poll":
+            state, answer = gs.poll(state, index, one.select("group_id", "topic_id", "reader_id"), at, size, **limits)
+        elif kind == "heartbeat":
+            state, answer = gs.heartbeat(state, one.select("group_id", "reader_id"), at, 45, 30)
+        elif kind == "commit":
+            state, answer = gs.commit(state, one)
+        else:
+            state = gs.leave(state, one)
+        got = answer.collect()[0].asDict() if answer is not None else {}
+        state = gs.State(*(fixed(df, s) for df, s in zip((state.members, state.leases, state.cursors), schemas)))
+        mark = {r["group_id"]: r["committed_watermark"] for r in state.summary().collect()}[g]
+        out[g, at, seq] = (got.get("status", "OK"), got.get("start_offset"), got.get("end_offset"), mark)
+    return out
+
+
+def test_coordinator_stream_equals_the_steps(spark, tmp_path):
+    from tidelog.streaming.groups import coordinate
+
+    commands = [r for r in command_rows() if r[0] == "a"]
+    df = spark.createDataFrame(command_rows(), COMMANDS)
+    for k, part in enumerate(("at_us < 50", "at_us >= 50")):  # two micro-batches
+        df.where(part).coalesce(1).write.parquet(str(tmp_path / f"in/p{k}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = coordinate(stream, 45, 30, 3).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(idempotent_sink(str(tmp_path / "out"), lambda df: df)).start()
+    q.awaitTermination()
+    got = {(r["group_id"], r["at_us"], r["seq"]): (r["status"], r["start_offset"], r["end_offset"], r["committed_watermark"]) for r in committed(spark, str(tmp_path / "out")).collect()}
+    want = plain_steps(spark, commands)
+    assert {k: v for k, v in got.items() if k[0] == "a"} == want and len(got) > len(want)
+    assert {v[0] for v in want.values()} >= {"OK", "MAX_INFLIGHT", "UNKNOWN_MEMBER"} and any(v[1] is not None for v in want.values())

@@ -76,7 +76,45 @@ LEAVE = """WITH cur AS (SELECT c.group_id, c.topic_id, least(dispatch_cursor, co
 GRANTS = """g AS (SELECT topic_id, start_offset, i, (SELECT min(b.i) FROM n b WHERE b.topic_id = a.topic_id AND b.i BETWEEN a.i AND a.i + 9 AND (b.cum - a.cum + a.byte_length >= {} OR b.i = a.i + 9 OR b.i = a.last)) AS j FROM n a)"""
 NUMBERED = "n AS (SELECT topic_id, start_offset, end_offset, byte_length, row_number() OVER (PARTITION BY topic_id ORDER BY start_offset) AS i, count(*) OVER (PARTITION BY topic_id) AS last, sum(byte_length) OVER (PARTITION BY topic_id ORDER BY start_offset) AS cum FROM idx {})"
 
+#: The state of the groups after a step: which leases l stay, which members stay, and where the cursors stand.
+AFTER = """WITH l AS (SELECT * FROM inflight {leases}), mem AS (SELECT group_id, count(*) AS m FROM members {members} GROUP BY 1), cur AS ({cursors})
+    SELECT cur.group_id, cur.topic_id, dispatch_cursor, coalesce((SELECT min(start_offset) FROM l WHERE l.topic_id = cur.topic_id AND l.group_id = cur.group_id), dispatch_cursor) AS committed_watermark,
+    (SELECT count(*) FROM l WHERE l.topic_id = cur.topic_id AND l.group_id = cur.group_id) AS n_leases, coalesce((SELECT m FROM mem WHERE mem.group_id = cur.group_id), 0) AS n_members FROM cur"""
+ROLLED = "SELECT c.group_id, c.topic_id, least(dispatch_cursor, coalesce((SELECT min(start_offset) FROM inflight i WHERE i.topic_id = c.topic_id AND {}), dispatch_cursor)) AS dispatch_cursor FROM cursors c"
+SILENT = "reader_id <> 'r1' AND reader_id IN (SELECT reader_id FROM members, now WHERE heartbeat_us < now_us - 30000000)"
+FRESH = """WITH n AS (SELECT i.topic_id, i.start_offset, i.end_offset, row_number() OVER t AS i, sum(byte_length) OVER t - byte_length AS before FROM idx i JOIN cursors c USING (topic_id)
+    WHERE i.end_offset > c.dispatch_cursor WINDOW t AS (PARTITION BY i.topic_id ORDER BY i.start_offset)), fresh AS (SELECT topic_id, min(start_offset) AS s, max(end_offset) AS e FROM n WHERE i <= 10 AND before < 4096 GROUP BY 1)"""
+AT_LAST = 'SELECT writer_id, append_seq, "offset" FROM rec'
+
 SQL = {
+    "group_join_state": """WITH cur AS (SELECT * FROM cursors UNION ALL SELECT 'g2', topic_id, 0 FROM topics), mem AS (SELECT group_id, count(*) + 1 AS m FROM members GROUP BY 1 UNION ALL SELECT 'g2', 1)
+        SELECT cur.group_id, cur.topic_id, dispatch_cursor, coalesce((SELECT min(start_offset) FROM inflight l WHERE l.topic_id = cur.topic_id AND l.group_id = cur.group_id), dispatch_cursor) AS committed_watermark,
+        (SELECT count(*) FROM inflight l WHERE l.topic_id = cur.topic_id AND l.group_id = cur.group_id) AS n_leases, m AS n_members FROM cur JOIN mem USING (group_id)""",
+    "poll_decision": FRESH + """, old AS (SELECT topic_id, start_offset, end_offset FROM inflight, now WHERE expires_us < now_us QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY start_offset) = 1),
+        q AS (SELECT scenario, topic_id, CASE WHEN topic_id = 1 THEN 'r9' ELSE 'r' || (topic_id % 3) END AS reader_id FROM topics, (VALUES ('fresh'), ('steal'), ('limited')) v(scenario)),
+        d AS (SELECT q.*, CASE WHEN reader_id = 'r9' THEN 'none' WHEN scenario = 'limited' AND (SELECT count(*) FROM inflight i WHERE i.topic_id = q.topic_id AND i.reader_id = q.reader_id) >= 10 THEN 'limit'
+            WHEN scenario <> 'fresh' AND old.topic_id IS NOT NULL THEN 'old' ELSE 'new' END AS what, old.start_offset AS os, old.end_offset AS oe, s, e FROM q LEFT JOIN old USING (topic_id) LEFT JOIN fresh USING (topic_id))
+        SELECT scenario, topic_id, reader_id, CASE WHEN what = 'limit' THEN 'MAX_INFLIGHT' ELSE 'OK' END AS status, CASE what WHEN 'old' THEN os WHEN 'new' THEN s END AS start_offset, CASE what WHEN 'old' THEN oe WHEN 'new' THEN e END AS end_offset FROM d""",
+    "poll_state": FRESH + """ SELECT c.group_id, c.topic_id, coalesce(e, dispatch_cursor) AS dispatch_cursor, coalesce((SELECT min(start_offset) FROM inflight i WHERE i.topic_id = c.topic_id), s, dispatch_cursor) AS committed_watermark,
+        (SELECT count(*) FROM inflight i WHERE i.topic_id = c.topic_id) + CASE WHEN s IS NULL THEN 0 ELSE 1 END AS n_leases, (SELECT count(*) FROM members) AS n_members FROM cursors c LEFT JOIN fresh USING (topic_id)""",
+    "poll_after_leave": "WITH c AS (" + ROLLED.format("reader_id = 'r0'") + """), live AS (SELECT * FROM inflight WHERE reader_id <> 'r0'),
+        p AS (SELECT topic_id, dispatch_cursor AS pos FROM c UNION SELECT c.topic_id, end_offset FROM c JOIN live USING (topic_id) WHERE end_offset > dispatch_cursor),
+        f AS (SELECT topic_id, min(pos) AS pos FROM p WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.topic_id = p.topic_id AND start_offset <= pos AND pos < end_offset) GROUP BY 1),
+        u AS (SELECT f.topic_id, pos, (SELECT min(start_offset) FROM live WHERE live.topic_id = f.topic_id AND start_offset > pos) AS until FROM f),
+        s AS (SELECT u.topic_id, pos, until, idx.end_offset, row_number() OVER (PARTITION BY u.topic_id ORDER BY idx.start_offset) AS i FROM u JOIN idx USING (topic_id) WHERE idx.end_offset > pos AND (until IS NULL OR idx.start_offset < until))
+        SELECT topic_id, 'r1' AS reader_id, 'OK' AS status, any_value(pos) AS start_offset, least(max(end_offset), any_value(until)) AS end_offset FROM s WHERE i <= 10 GROUP BY topic_id""",
+    "heartbeat_state": AFTER.format(leases=f"WHERE NOT ({SILENT})", members=f"WHERE NOT ({SILENT})", cursors=ROLLED.format(SILENT)),
+    "heartbeat_answers": "SELECT 'g1' AS group_id, r AS reader_id, CASE WHEN r IN (SELECT reader_id FROM members) THEN 'OK' ELSE 'UNKNOWN_MEMBER' END AS status FROM (VALUES ('r1'), ('r9')) v(r)",
+    "commit_state": AFTER.format(leases="WHERE reader_id <> 'r0'", members="", cursors="SELECT * FROM cursors"),
+    "leave_state": AFTER.format(leases="WHERE reader_id <> 'r0'", members="WHERE reader_id <> 'r0'", cursors=ROLLED.format("reader_id = 'r0'")),
+    "force_remove_state": AFTER.format(leases="WHERE reader_id <> 'r2'", members="WHERE reader_id <> 'r2'", cursors=ROLLED.format("reader_id = 'r2'")),
+    "force_reset_state": AFTER.format(leases="WHERE topic_id > 2", members="WHERE false", cursors="SELECT group_id, topic_id, CASE WHEN topic_id <= 2 THEN coalesce((SELECT min(start_offset) FROM inflight i WHERE i.topic_id = c.topic_id), dispatch_cursor) ELSE dispatch_cursor END AS dispatch_cursor FROM cursors c"),
+    "writer_acks": f'WITH r AS ({AT_LAST}) SELECT writer_id, append_seq AS last_seq, "offset" AS last_start, "offset" + 1 AS last_end FROM r QUALIFY row_number() OVER (PARTITION BY writer_id ORDER BY append_seq DESC) = 1',
+    "dedup_answers": f"""WITH r AS ({AT_LAST}), s AS (SELECT writer_id, append_seq AS last, "offset" AS o FROM r QUALIFY row_number() OVER (PARTITION BY writer_id ORDER BY append_seq DESC) = 1)
+        SELECT arrival, writer_id, append_seq, CASE WHEN append_seq > last THEN 'ACCEPT' WHEN append_seq = last THEN 'DUPLICATE' ELSE 'STALE' END AS decision, CASE WHEN append_seq = last THEN o END AS start_offset, CASE WHEN append_seq = last THEN o + 1 END AS end_offset FROM arrivals JOIN s USING (writer_id)""",
+    "ack_ranges": """WITH q AS (SELECT flush_id, topic_id, schema_id, writer_id, min(event_id) AS append_seq, count(*) AS n FROM log GROUP BY 1, 2, 3, 4),
+        p AS (SELECT *, CAST(sum(n) OVER (PARTITION BY flush_id, topic_id, schema_id ORDER BY append_seq) - n AS BIGINT) AS place FROM q)
+        SELECT writer_id, append_seq, topic_id, schema_id, start_offset + place AS start_offset, start_offset + place + n AS end_offset FROM p JOIN idx USING (flush_id, topic_id, schema_id)""",
     "offset_allocation": "SELECT topic_id, flush_id, schema_id, start_offset, end_offset, record_count FROM idx",
     "segment_index": "SELECT * EXCLUDE (batch_id) FROM idx",
     "segment_layout": "SELECT flush_id, topic_id, schema_id, byte_offset, byte_offset + byte_length AS byte_end, CAST(sum(byte_length) OVER (PARTITION BY flush_id) AS BIGINT) AS object_bytes, 'log/' || strftime(make_timestamp(ingest_us), '%Y-%m-%d') || '/' || (ingest_us // 1000) || '-' || flush_id || '.fl' AS object_key FROM idx",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
-from tidelog.operators import append, catalog, groups, invariants, readpath, sink
+from tidelog.operators import append, catalog, groups, groupstate, invariants, readpath, sink
 from tidelog.plans.logmodel import LEASE_US, MAX_INFLIGHT, SESSION_US, LogModel
 from tidelog.sources import avro, seglog
 
@@ -93,6 +93,28 @@ def writer_state_upsert(m):
     return append.writer_state(old, m.requests.where("flush_id > 50"))
 
 
+@query
+def writer_acks(m):
+    """The stored acknowledgement of each writer: state after flush 50, then everything later."""
+    acked = append.acks(m.requests, m.index).join(m.requests.select("writer_id", "append_seq", "flush_id"), ["writer_id", "append_seq"])
+    old = append.writer_acks(rows(m, "writer_id long, last_seq long, last_start long, last_end long"), acked.where("flush_id <= 50"))
+    return append.writer_acks(old, acked.where("flush_id > 50"))
+
+
+@query
+def dedup_answers(m):
+    """Retries against the stored state: the last request of a writer is answered with its acknowledgement."""
+    state = append.writer_acks(rows(m, "writer_id long, last_seq long, last_start long, last_end long"), append.acks(m.requests, m.index))
+    return append.answered(m.arrivals, state)
+
+
+@query
+def ack_ranges(m):
+    """Requests of several records: those of a writer in a segment are one request, numbered by flush."""
+    first = m.log.groupBy("flush_id", "topic_id", "schema_id", "writer_id").agg(F.min("event_id").alias("event_id"), F.count("*").alias("record_count"))
+    return append.acks(first.withColumn("append_seq", F.col("event_id")), m.index)
+
+
 @query
 def append_bytes(m):
     return append.bytes_by_writer(m.log)
@@ -341,6 +363,89 @@ def commit_ownership(m):
     return groups.commits(m.inflight, asked)
 
 
+# reader groups as steps of a state; each query shows the state, or the answers, after one step
+
+
+def group_state(m):
+    return groupstate.State(m.members, m.inflight, m.cursors)
+
+
+def at_last(m) -> int:
+    return m.now_us.first()["now_us"] or 0
+
+
+def readers(m, *names: str) -> DataFrame:
+    return rows(m, "group_id string, reader_id string", *(("g1", n) for n in names))
+
+
+@query
+def group_join_state(m):
+    """r9 joins g1, and a new group g2."""
+    new = m.topics.select(F.explode(F.array(F.lit("g1"), F.lit("g2"))).alias("group_id"), "topic_id", F.lit("r9").alias("reader_id"))
+    return groupstate.join(group_state(m), new, at_last(m)).summary()
+
+
+@query
+def poll_decision(m):
+    """A poll for each topic where no lease has expired, where all may have, and with a limit of ten leases; topic 1 is asked for by no member."""
+    reader = F.when(F.col("topic_id") == 1, "r9").otherwise(F.concat(F.lit("r"), (F.col("topic_id") % 3).cast("string")))
+    asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", reader.alias("reader_id"))
+    out = None
+    for name, now, most in (("fresh", 0, 1 << 30), ("steal", at_last(m), 1 << 30), ("limited", at_last(m), MAX_INFLIGHT)):
+        _, answer = groupstate.poll(group_state(m), m.index, asked, now, 4096, LEASE_US, most)
+        answer = answer.withColumn("scenario", F.lit(name))
+        out = answer if out is None else out.unionByName(answer)
+    return out.drop("group_id")
+
+
+@query
+def poll_state(m):
+    """The state after a fresh poll by r0 for each topic."""
+    asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", F.lit("r0").alias("reader_id"))
+    return groupstate.poll(group_state(m), m.index, asked, 0, 4096, LEASE_US, 1 << 30)[0].summary()
+
+
+@query
+def poll_after_leave(m):
+    """r0 leaves, r1 polls: what is dealt out again ends where a lease of another reader begins."""
+    asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", F.lit("r1").alias("reader_id"))
+    return groupstate.poll(groupstate.leave(group_state(m), readers(m, "r0")), m.index, asked, 0, 1 << 40, LEASE_US, 1 << 30)[1].drop("group_id")
+
+
+@query
+def heartbeat_state(m):
+    """r1 is heard of: members silent for too long go."""
+    return groupstate.heartbeat(group_state(m), readers(m, "r1"), at_last(m), LEASE_US, SESSION_US)[0].summary()
+
+
+@query
+def heartbeat_answers(m):
+    return groupstate.heartbeat(group_state(m), readers(m, "r1", "r9"), at_last(m), LEASE_US, SESSION_US)[1]
+
+
+@query
+def commit_state(m):
+    """Every lease is committed by r0: those of others stay."""
+    asked = m.inflight.drop("expires_us").withColumn("reader_id", F.lit("r0"))
+    return groupstate.commit(group_state(m), asked)[0].summary()
+
+
+@query
+def leave_state(m):
+    return groupstate.leave(group_state(m), readers(m, "r0")).summary()
+
+
+@query
+def force_remove_state(m):
+    return groupstate.leave(group_state(m), readers(m, "r2")).summary()
+
+
+@query
+def force_reset_state(m):
+    """Topics 1 and 2 are reset: their leases and all members of the group go."""
+    return groupstate.force_reset(group_state(m), rows(m, "group_id string, topic_id long", ("g1", 1), ("g1", 2))).summary()
+
+
 # sink, claims, evolution
 
 
