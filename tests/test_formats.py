@@ -128,7 +128,7 @@ def test_stream_and_containers(spark, tmp_path):
 
 
 def test_schema_errors():
-    for bad in (["null", "string", "long"], {"type": "record", "name": "A", "fields": [{"name": "a", "type": ["null", "A"]}]}, "nothing"):
+    for bad in ([], ["null", ["int", "string"]], {"type": "record", "name": "A", "fields": [{"name": "a", "type": ["null", "A"]}]}, "nothing"):
         with pytest.raises(avro.SchemaError):
             avro.parse(bad)
 
@@ -165,9 +165,135 @@ def test_wide_union_is_an_error_in_the_new_schema_only():
 
 
 def test_evolution_and_projection(spark):
-    old = rec(("old_id", "int"), ("removed", "string"))
-    new = rec(("new_id", "long", {"aliases": ["old_id"]}), ("added", ["null", "string"], {"default": None})) | {"evolution.deletions": ["removed"]}
-    assert avro.evolution(new, old) == [("RENAME", "old_id", "new_id"), ("DELETE", "removed"), ("WIDEN", "new_id", "long"), ("ADD", "added", ["null", "string"])]
-    df = spark.createDataFrame([(1, "x")], "old_id int, removed string")
+    old = rec(("parcel", "int"), ("colour", "string"))
+    new = rec(("box", "long", {"aliases": ["parcel"]}), ("height", ["null", "string"], {"default": None})) | {"shop.deletions": ["colour"]}
+    assert avro.evolution(new, old, "shop") == [("RENAME", "parcel", "box"), ("DELETE", "colour"), ("WIDEN", "box", "long"), ("ADD", "height", ["null", "string"])]
+    df = spark.createDataFrame([(1, "x")], "parcel int, colour string")
     got = df.select(*avro.projection(json.dumps(new), json.dumps(old)))
-    assert got.dtypes == [("new_id", "bigint"), ("added", "string")] and got.first() == (1, None)
+    assert got.dtypes == [("box", "bigint"), ("height", "string")] and got.first() == (1, None)
+
+
+def test_wide_unions_decode_to_json():
+    node = avro.parse(["string", "null", "long", {"type": "array", "items": "int"}, {"type": "record", "name": "P", "fields": [{"name": "x", "type": "boolean"}]}])
+    for value, text in (("a", '"a"'), (None, None), (5, "5"), ([1, 2], "[1,2]"), ({"x": True}, '{"x":true}')):
+        out = bytearray()
+        avro.encode(node, value, out)
+        assert avro.reader(node)(bytes(out), 0) == (text, len(out)) and avro.skipper(node)(bytes(out), 0) == len(out)
+    with pytest.raises(ValueError, match="branch"):
+        avro.reader(node)(b"\x0e", 0)
+    with pytest.raises(ValueError, match="branch"):
+        avro.encode(node, 2.5, bytearray())
+
+
+@pytest.mark.parametrize("text", ["0", "-12.340", "123456789012345678901234567890.5", "99"])
+def test_big_decimals(text):
+    node = avro.parse({"type": "bytes", "logicalType": "big-decimal"})
+    out = bytearray()
+    avro.encode(node, text, out)
+    assert avro.reader(node)(bytes(out), 0) == (text, len(out)) and avro.skipper(node)(bytes(out), 0) == len(out)
+    with pytest.raises(ValueError):
+        avro.reader(node)(bytes([out[0] + 2]) + bytes(out[1:]) + b"\0", 0)
+
+
+def test_nanoseconds_are_cut_to_microseconds():
+    node, out = avro.parse({"type": "long", "logicalType": "timestamp-nanos"}), bytearray()
+    seglog.put_i64(1_700_000_000_123_456_789, out)
+    assert avro.reader(node)(bytes(out), 0)[0] == dt.datetime(2023, 11, 14, 22, 13, 20, 123456)
+
+
+def logical(kind, name, **more):
+    return {"type": kind, "logicalType": name, **more}
+
+
+@pytest.mark.parametrize(
+    ("new", "old", "ok"),
+    [
+        (logical("bytes", "decimal", precision=10, scale=4), logical("bytes", "decimal", precision=10, scale=2), False), (logical("bytes", "decimal", precision=10, scale=2), logical("bytes", "decimal", precision=10, scale=2), True),
+        (logical("long", "timestamp-micros"), logical("long", "timestamp-millis"), False), (logical("long", "timestamp-micros"), "long", False), ("long", logical("int", "date"), False), (logical("string", "decimal"), "string", True),
+        (rec(("a", {"type": "fixed", "name": "H", "size": 4}), ("b", "H")), rec(("a", {"type": "fixed", "name": "H", "size": 4}), ("b", {"type": "fixed", "name": "H", "size": 4})), True),
+    ],
+)
+def test_compatibility_of_logical_and_named_types(new, old, ok):
+    assert avro.compatible(new, old) is ok
+
+
+def test_schema_of_nodes_is_the_schema():
+    for s in (ALL, ["null", "string"], {"type": "map", "values": ["long", "null"]}, logical("bytes", "decimal", precision=9, scale=2)):
+        again = avro.to_json(avro.parse(json.dumps(s)))
+        assert avro.parse(json.dumps(again)) == avro.parse(json.dumps(s)) and avro.expanded(again) == avro.expanded(s)
+
+
+def test_field_ids_are_depth_first():
+    s = rec(("a", "long"), ("r", {"type": "record", "name": "In", "fields": [{"name": "x", "type": "int"}, {"name": "l", "type": {"type": "array", "items": "string"}}]}), ("m", {"type": "map", "values": ["null", "int"]}), ("z", ["null", "string"]))
+    t = avro.with_field_ids(json.dumps(s))
+    assert [f.metadata["field_id"] for f in t] == [1, 2, 6, 9]
+    assert [f.metadata for f in t["r"].dataType] == [{"field_id": 3}, {"field_id": 4, "element_id": 5}] and t["m"].metadata == {"field_id": 6, "key_id": 7, "value_id": 8}
+
+
+def test_values_by_type():
+    out = bytearray()
+    avro.encode(avro.parse(json.dumps(ALL)), ROW, out)
+    v = avro.read_value(bytes(out), json.dumps(ALL))
+    assert v.get("i").as_int() == -5 and v.get("i").as_str() is None and v.get("l").is_null() and v.get(0).as_bool() is True and v.get("no") is None
+    assert v.get("a").get(2).as_int() == 3 and v.get("a").get(9) is None and v.get("m").get("k").as_int() == 7 and v.get("r").get("v").as_int() == 9 and [x.as_int() for x in v.get("a").as_list()] == [1, None, 3]
+
+
+def test_containers_of_several_schemas(spark, tmp_path):
+    old, new = rec(("id", "int"), ("old", "string")), rec(("id", "long"), ("name", "string", {"aliases": ["old"]}), ("note", ["null", "string"], {"default": None}))
+    for k, codec in enumerate(("null", "deflate", "bzip2", "xz", "zstandard")):
+        (tmp_path / f"{k}.avro").write_bytes(avro.write_container([{"id": k, "old": f"n{k}"}], json.dumps(old), codec))
+    (tmp_path / "n.avro").write_bytes(avro.write_container([{"id": 9, "name": "x", "note": "y"}], json.dumps(new)))
+    got = sorted(tuple(r) for r in avro.containers(spark, str(tmp_path), json.dumps(new)).collect())
+    assert got == [(k, f"n{k}", None) for k in range(5)] + [(9, "x", "y")]
+    with pytest.raises(avro.SchemaError):
+        avro.resolved(json.dumps(rec(("id", "int"))), json.dumps(new))
+
+
+def test_json_by_any_schema(spark):
+    schema = json.dumps(rec(("id", "long"), ("tags", {"type": "array", "items": "string"}, {"default": []}), ("u", ["null", "string", "long"], {"default": None}), ("p", ["null", {"type": "record", "name": "P", "fields": [{"name": "x", "type": "double"}]}], {"default": None})))
+    texts = ['{"id": 1}', '{"id": 2, "tags": ["a"], "u": 7, "p": {"x": 1.5}}', '{"tags": []}', '{"id": 1, "zz": 2}', '{"id": "x"}', "nonsense", '{"id": 3, "u": "s"}']
+    df = avro.ingested(spark.createDataFrame([(t,) for t in texts], "j string"), "j", schema)
+    got = avro.decode_column(df, "datum", schema).collect()
+    assert [r["status"] == "OK" for r in got] == [True, True, False, False, False, False, True]
+    assert (got[1]["tags"], got[1]["u"], got[1]["p"]["x"], got[6]["u"], got[0]["tags"]) == (["a"], "7", 1.5, '"s"', []) and "zz" in got[3]["status"] and "id" in got[2]["status"]
+
+
+def test_host_types():
+    import dataclasses
+    import enum
+    import typing
+
+    from tidelog.sources import hosttypes as h
+
+    @dataclasses.dataclass
+    class Place:
+        city: str
+
+    class Kind(enum.Enum):
+        A = "a-value"
+        B = "b-value"
+
+    @dataclasses.dataclass
+    class Parcel:
+        code: typing.Annotated[str, h.NonNull]
+        weight: float
+        n: h.Int32
+        tags: list[str]
+        counts: dict[str, int]
+        kind: Kind
+        place: Place
+        note: str | None = None
+
+    Parcel.__annotations__.update(place=Place, kind=Kind)
+    hints = typing.get_type_hints
+    h.typing.get_type_hints = lambda c, include_extras=False: c.__annotations__
+    try:
+        s = h.schema_of(Parcel, renames={"id": "code"}, deletions=("old",))
+        assert s["fields"][0] == {"name": "code", "type": "string", "aliases": ["id"]} and s["fields"][2]["type"] == ["null", "int"] and s["evolution.deletions"] == ["old"]
+        p = Parcel("c", 1.5, 3, ["x"], {"a": 1}, Kind.B, Place("Bern"))
+        assert h.from_bytes(Parcel, h.to_bytes(p)) == p
+        for bad in ({"renames": {"id": "nothing"}}, {"deletions": ("code",)}, {"renames": {"id": "code"}, "deletions": ("id",)}):
+            with pytest.raises(avro.SchemaError):
+                h.schema_of(Parcel, **bad)
+    finally:
+        h.typing.get_type_hints = hints

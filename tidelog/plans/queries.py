@@ -207,11 +207,9 @@ def tail_decode_fallback(m):
 def json_ingest(m):
     """JSON values against a schema of one long field k: accepted with its value or default, or rejected for an unknown field."""
     v = F.when(F.col("event_id") % 13 == 0, F.lit('{"z": 1}')).when(F.col("event_id") % 17 == 0, F.lit("{}")).otherwise(F.col("props"))
-    e = m.table("events").select("event_id", v.alias("j"))
-    keys = F.json_object_keys("j")
-    n = F.get_json_object("j", "$.k").cast("long")
-    unknown = F.size(F.array_except(keys, F.array(F.lit("k")))) > 0
-    return e.select("event_id", F.when(unknown, "REJECTED").otherwise("OK").alias("status"), F.when(~unknown, F.coalesce(n, F.lit(-1))).alias("k"))
+    schema = '{"type":"record","name":"K","fields":[{"name":"k","type":"long","default":-1}]}'
+    coded = avro.ingested(m.table("events").select("event_id", v.alias("j")), "j", schema)
+    return avro.decode_column(coded, "datum", schema).select("event_id", F.when(F.col("status") == "OK", "OK").otherwise("REJECTED").alias("status"), "k")
 
 
 # joins and catalogue
