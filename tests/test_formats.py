@@ -60,6 +60,9 @@ def test_seglog_source(spark, tmp_path):
     back = spark.read.format("seglog").load(str(tmp_path / "log"))
     assert sorted((r["topic_id"], bytes(r["value"])) for r in back.collect()) == sorted((r[0], r[4]) for r in rows)
     assert back.where("topic_id = 2").count() == 20 and back.where("topic_id = 2 AND position < 5").count() >= 5
+    two, three = (spark.read.format("seglog").option("topic_id", t).load(str(tmp_path / "log")) for t in (2, 3))
+    assert two.count() == 20 and two.unionByName(three.where("position >= 0")).select("topic_id").distinct().count() == 2
+    assert back.where("topic_id = 1").unionByName(back.where("topic_id = 2")).count() == 40  # two scans of one load
     assert back.where("key IS NULL").count() == sum(r[3] is None for r in rows)
 
 
@@ -297,3 +300,49 @@ def test_host_types():
                 h.schema_of(Parcel, **bad)
     finally:
         h.typing.get_type_hints = hints
+
+
+def test_object_store(tmp_path):
+    s = seglog.ObjectStore(str(tmp_path))
+    s.put("a/b.bin", b"0123456789")
+    s.put("a/c.bin", b"")
+    assert s.get("a/b.bin") == b"0123456789" and s.get_range("a/b.bin", 2, 3) == b"234" and s.size("a/b.bin") == 10 and s.list("a/") == ["a/b.bin", "a/c.bin"] and s.list("x") == []
+    for start, n in ((8, 3), (-1, 2), (11, 0)):
+        with pytest.raises(ValueError, match="range"):
+            s.get_range("a/b.bin", start, n)
+    s.delete("a/c.bin")
+    assert s.list() == ["a/b.bin"]
+
+
+def test_registry(spark, tmp_path):
+    from tidelog.operators.registry import Registry, RegistryError
+
+    r = Registry(str(tmp_path))
+    t, u = r.create_topic("parcels"), r.create_topic("letters")
+    v1, v2, bad = rec(("a", "int")), rec(("a", "long"), ("b", ["null", "string"], {"default": None})), rec(("a", "string"))
+    assert r.check(t, bad) and r.register(t, v1, 1) == 100 == r.register(t, json.dumps(v1 | {"doc": "x"}), 2) == r.register(u, v1, 3)
+    assert r.register(t, v2, 4) == 101 and r.of_topic(t) == [101, 100] and not r.check(t, bad) and r.by_hash(avro.schema_hash(v2)) == 101 and r.get(101) == v2 and r.get(7) is None
+    for topic, schema in ((t, bad), (99, v1)):
+        with pytest.raises(RegistryError):
+            r.register(topic, schema)
+    with pytest.raises(avro.SchemaError):
+        r.register(u, rec(("a", ["null", "int", "string"])))
+    assert Registry(str(tmp_path)).doc == r.doc and len(r.doc["schemas"]) == 2  # what was refused left no trace
+    with pytest.raises(RegistryError, match="exists"):
+        r.create_topic("letters")
+    assert sorted((x["topic_id"], x["schema_id"]) for x in r.table(spark).collect()) == [(t, 100), (t, 101), (u, 100)]
+    assert r.delete_topic(t) and not r.delete_topic(t) and r.of_topic(t) == [] and r.get(101) == v2
+
+
+def test_table_schema_moves_on(spark, tmp_path):
+    from tidelog.operators.tablesink import SinkTable
+
+    t = SinkTable(spark, str(tmp_path))
+    old, new = json.dumps(rec(("a", "int"))), json.dumps(rec(("a", "long"), ("b", ["null", "string"], {"default": None})))
+    meta = "CAST(1 AS LONG) AS _offset, 1 AS _partition_id, timestamp_micros(5) AS _ingest_time, X'00' AS _key"
+    assert t.ensure("x", old) and not t.ensure("x", old)
+    assert t.append("c1", spark.sql(f"SELECT 7 AS a, {meta}"), [1]) and not t.append("c1", spark.sql(f"SELECT 8 AS a, {meta}"), [1])
+    assert not t.ensure("x", new) and t.append("c2", spark.sql(f"SELECT CAST(9 AS LONG) AS a, 'z' AS b, {meta}"), [2])
+    assert sorted((r["a"], r["b"]) for r in t.read().collect()) == [(7, None), (9, "z")]
+    with pytest.raises(avro.SchemaError):
+        t.ensure("x", json.dumps(rec(("a", "string"))))

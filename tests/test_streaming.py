@@ -92,3 +92,45 @@ def test_coordinator_stream_equals_the_steps(spark, tmp_path):
     want = plain_steps(spark, commands)
     assert {k: v for k, v in got.items() if k[0] == "a"} == want and len(got) > len(want)
     assert {v[0] for v in want.values()} >= {"OK", "MAX_INFLIGHT", "UNKNOWN_MEMBER"} and any(v[1] is not None for v in want.values())
+
+
+def test_segment_stream_follows_commits(spark, tmp_path):
+    from tidelog.sources import seglog
+
+    seglog.register(spark)
+    path = str(tmp_path / "log")
+    write = lambda k: spark.createDataFrame([(1, 100, 1000 * k, None, f"v{k}-{i}".encode()) for i in range(30)], "topic_id long, schema_id long, ingest_us long, key binary, value binary").repartition(2).write.format("seglog").mode("append").save(path)
+    write(1)
+
+    def run():
+        stream = spark.readStream.format("seglog").load(path)
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(idempotent_sink(str(tmp_path / "out"))).start().awaitTermination()
+        return sorted(bytes(r["value"]) for r in committed(spark, str(tmp_path / "out")).collect())
+
+    assert run() == sorted(f"v1-{i}".encode() for i in range(30))
+    write(2)
+    write(3)
+    assert run() == sorted(f"v{k}-{i}".encode() for k in (1, 2, 3) for i in range(30))
+
+
+def test_catch_up_is_idempotent(spark, tmp_path):
+    import json
+
+    from tidelog.operators.tablesink import Claims, SinkTable, catch_up
+    from tidelog.sources import avro, seglog
+
+    seglog.register(spark)
+    log, schema = str(tmp_path / "log"), '{"type":"record","name":"R","fields":[{"name":"n","type":"long"}]}'
+    rows = spark.range(50).selectExpr("1L AS topic_id", "100L AS schema_id", "id AS ingest_us", "CAST(NULL AS BINARY) AS key", "id AS n").repartition(3)
+    avro.encode_column(rows, schema, "value").drop("n").write.format("seglog").mode("append").save(log)
+    table, claims = SinkTable(spark, str(tmp_path / "table")), Claims(str(tmp_path / "claims"))
+    table.ensure("r", schema)
+    go = lambda now: catch_up(spark, log, {1: table}, {100: schema}, claims, lambda: now, most=2)
+    assert go(10) == 2 and go(20) == 0
+    got = table.read().collect()
+    assert sorted(r["n"] for r in got) == list(range(50)) and sorted(r["_offset"] for r in got) == list(range(50))
+    name, about = next(iter(claims.all().items()))
+    claims.claim(name, about["batches"], 30)  # a run that died after its commit
+    table.store.delete(f"_manifest/{name}.json")  # and one that died before it
+    assert go(40) == 0 and table.read().count() < 50 and go(1 << 40) == 1 and table.read().count() == 50
+    assert all(c["status"] == "completed" for c in claims.all().values()) and json.dumps(claims.all())

@@ -176,6 +176,10 @@ SQL = {
     "catchup_grouping": "SELECT flush_id, count(*) AS n_segments, CAST(sum(byte_length) AS BIGINT) AS bytes, string_agg(CAST(batch_id AS VARCHAR), ',' ORDER BY batch_id) AS batch_ids FROM idx WHERE batch_id NOT IN (SELECT batch_id FROM claims) GROUP BY 1",
     "sink_flush_victim": "WITH s AS (SELECT topic_id, CAST(sum(byte_length) AS BIGINT) AS bytes FROM idx GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, topic_id) AS flush_no, sum(bytes) OVER (ORDER BY bytes DESC, topic_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS held FROM s) SELECT topic_id, bytes, flush_no FROM o WHERE held > 100000",
     "sink_projection": "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) ELSE o_totalprice END AS total, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS priority, o_orderkey AS _offset, 1 AS _partition_id, epoch_us(o_orderdate) AS _ingest_time, CAST(o_custkey AS VARCHAR) AS _key FROM orders",
+    "sink_write_segments": "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) ELSE o_totalprice END AS total, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS priority, 1 AS _partition_id, CAST(o_custkey AS VARCHAR) AS _key FROM orders",
+    "sink_offsets": "SELECT 1 AS _partition_id, count(*) AS n, 0 AS low, count(*) - 1 AS high, count(*) AS n_offsets FROM orders",
+    "segment_roundtrip": "SELECT topic_id, schema_id, key, value FROM log",
+    "registry_schemas": "SELECT topic_id, CAST(100 + v AS BIGINT) AS schema_id, CAST(v AS BIGINT) AS created_us FROM topics, (VALUES (0), (1)) s(v)",
     "sink_metadata_columns": 'SELECT value, "offset" AS _offset, CAST(topic_id AS INTEGER) AS _partition_id, ts_us AS _ingest_time, key AS _key FROM rec',
     "schema_diff": "SELECT * FROM (VALUES ('t', 'RENAME', 'new_id', 'old_id'), ('t', 'DELETE', 'removed', ''), ('t', 'WIDEN', 'new_id', 'int>long'), ('o', 'WIDEN', 'amount', 'float>double'), ('t', 'ADD', 'added', 'string'), ('o', 'ADD', 'extra', 'int')) v(table_name, op, column_name, detail)",
     "schema_hash": "SELECT event_id, sha256(props) AS hash FROM events",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
-from tidelog.operators import append, catalog, groups, groupstate, invariants, readpath, sink
+from tidelog.operators import append, catalog, groups, groupstate, invariants, readpath, sink, tablesink
+from tidelog.operators.registry import Registry, RegistryError
+from tidelog.operators.tables import shared_folder
 from tidelog.plans.logmodel import LEASE_US, MAX_INFLIGHT, SESSION_US, LogModel
 from tidelog.sources import avro, seglog
 
@@ -484,6 +487,61 @@ def sink_projection(m):
     return a.unionByName(b)
 
 
+PARCEL_1 = '{"type":"record","name":"P","fields":[{"name":"order_id","type":"int"},{"name":"total","type":"float"},{"name":"state","type":"string"}]}'
+PARCEL_2 = '{"type":"record","name":"P","fields":[{"name":"order_id","type":"long"},{"name":"total","type":"double"},{"name":"status","type":"string","aliases":["state"]},{"name":"priority","type":["null","string"],"default":"unknown"}]}'
+
+
+def sunk(m):
+    """Orders written as Avro to segment files under two schemas, and taken into a table by the catch-up job; a second run adds nothing."""
+    seglog.register(m.spark)
+    folder = f"{shared_folder(m.spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    old, new = decoded(m)
+    for number, schema, part in ((100, PARCEL_1, old), (101, PARCEL_2, new)):
+        coded = avro.encode_column(part, schema, "datum").select(F.lit(1).cast("long").alias("topic_id"), F.lit(number).cast("long").alias("schema_id"), F.col("_ingest_time").alias("ingest_us"), F.col("_key").cast("binary").alias("key"), F.col("datum").alias("value"))
+        coded.write.format("seglog").mode("append").save(f"{folder}/log")
+    table, claims = tablesink.SinkTable(m.spark, f"{folder}/table"), tablesink.Claims(f"{folder}/claims")
+    table.ensure("parcels", PARCEL_2)
+    for _ in range(2):
+        tablesink.catch_up(m.spark, f"{folder}/log", {1: table}, {100: PARCEL_1, 101: PARCEL_2}, claims, lambda: 0)
+    return table.read()
+
+
+@query
+def sink_write_segments(m):
+    """What the table holds after segments of two writer schemas were taken in."""
+    return sunk(m).select("order_id", "total", "status", "priority", "_partition_id", F.col("_key").cast("string").alias("_key"))
+
+
+@query
+def sink_offsets(m):
+    """The offsets in the table are gap-free: how many, the least, the largest, how many different ones."""
+    return sunk(m).groupBy("_partition_id").agg(F.count("*").alias("n"), F.min("_offset").alias("low"), F.max("_offset").alias("high"), F.countDistinct("_offset").alias("n_offsets"))
+
+
+@query
+def segment_roundtrip(m):
+    """Every record of the log written to segment files and read back, check values compared."""
+    seglog.register(m.spark)
+    path = f"{shared_folder(m.spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    m.records.select("topic_id", "schema_id", F.col("ts_us").alias("ingest_us"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("seglog").mode("append").save(path)
+    back = m.spark.read.format("seglog").load(path)
+    return back.select("topic_id", "schema_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query
+def registry_schemas(m):
+    """Schemas of two versions registered for every topic: equal content shares an id, an unreadable version is refused."""
+    registry = Registry(f"{shared_folder(m.spark).rstrip('/')}/registry-{uuid.uuid4().hex}")
+    for r in m.topics.orderBy("topic_id").collect():  # a catalogue
+        topic = registry.create_topic(r["topic"])
+        for at, schema in enumerate((PARCEL_1, PARCEL_2, PARCEL_2, PARCEL_1)):
+            try:
+                registry.register(topic, schema, at)
+            except RegistryError:
+                pass
+    return registry.table(m.spark).select("topic_id", "schema_id", "created_us")
+
+
 @query
 def sink_metadata_columns(m):
     return m.records.select("value", F.col("offset").alias("_offset"), F.col("topic_id").cast("int").alias("_partition_id"), F.col("ts_us").alias("_ingest_time"), F.col("key").alias("_key"))

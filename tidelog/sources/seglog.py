@@ -10,11 +10,12 @@ within their segment, and a reader joins the index for offsets.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format.
 MAGIC, ZSTD, LEVEL = b"FLRN", 0, 3
@@ -171,52 +172,105 @@ def object_files(path: str) -> list[str]:
 
 
 class Part(InputPartition):
-    def __init__(self, file: str, segment: Segment):
-        super().__init__((file, segment.byte_offset))
-        self.file, self.segment = file, segment
+    def __init__(self, files: list[str]):
+        super().__init__(files)
+        self.files = files
 
 
-class SegmentReader(DataSourceReader):
-    """A task for each segment; a filter on topic_id or schema_id leaves segments out before any of their bytes is read."""
+def footer_of(f) -> list[Segment]:
+    """The segments of an open object; only its end is read."""
+    size = f.size()
+    foot = struct.unpack(">I", f.read_at(4, size - 8))[0] if size >= 8 else 0
+    tail = min(size, foot + 8)
+    return read_footer(f.read_at(tail, size - tail))
 
-    def __init__(self, path: str, verify: bool):
-        self.path, self.verify, self.equal = path, verify, {}
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in {("topic_id",), ("schema_id",)}:
-                self.equal[f.attribute[0]] = f.value
-            else:
-                yield f
+class SegmentScan:
+    """Reads objects in tasks: footers too, so the driver only lists. With the options topic_id or schema_id, other segments are left out
+    before any of their bytes is read. (Options, not pushed filters: two scans of one load() share a reader, and with it what was
+    pushed for one of them.) Records leave as Arrow batches, one for each segment."""
 
-    def partitions(self):
-        store, _ = store_of(self.path)
-        out = []
-        for file in object_files(self.path):
-            with store.open_input_file(file) as f:
-                size = f.size()
-                foot = struct.unpack(">I", f.read_at(4, size - 8))[0] if size >= 8 else 0
-                tail = min(size, foot + 8)
-                data = f.read_at(tail, size - tail)
-            out += [Part(file, s) for s in read_footer(data) if all(getattr(s, k) == v for k, v in self.equal.items())]
-        return out
+    def __init__(self, options):
+        self.path, self.verify = options["path"], options.get("verify", "true") == "true"
+        self.equal = {k: int(options[k]) for k in ("topic_id", "schema_id") if options.get(k)}
 
     def read(self, part: Part):
-        store, s = store_of(self.path)[0], part.segment
-        with store.open_input_file(part.file) as f:
-            raw = f.read_at(s.byte_length, s.byte_offset)
-        here = Segment(**{**s.__dict__, "byte_offset": 0})
-        for k, (key, value) in enumerate(read_segment(raw, here, self.verify)):
-            yield s.topic_id, s.schema_id, part.file.rsplit("/", 1)[1], s.byte_offset, k, s.ingest_us, key, value
+        store = store_of(self.path)[0]
+        for name in part.files:
+            with store.open_input_file(name) as f:
+                for s in footer_of(f):
+                    if all(getattr(s, k) == v for k, v in self.equal.items()):
+                        here = Segment(**{**s.__dict__, "byte_offset": 0})
+                        yield batch_of(s, name.rsplit("/", 1)[1], read_segment(f.read_at(s.byte_length, s.byte_offset), here, self.verify))
+
+
+def batch_of(s: Segment, file: str, records: list):
+    import pyarrow as pa
+
+    n = len(records)
+    long = lambda x: pa.array([x] * n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [long(s.topic_id), long(s.schema_id), pa.array([file] * n), long(s.byte_offset), pa.array(range(n), pa.int64()), long(s.ingest_us), pa.array([r[0] for r in records], pa.binary()), pa.array([r[1] for r in records], pa.binary())],
+        names=[c.split()[0] for c in COLUMNS.split(", ")],
+    )
+
+
+COLUMNS = "topic_id long, schema_id long, file string, byte_offset long, position long, ingest_us long, key binary, value binary"
+#: Objects that a task reads, in bytes, and at most so many; bytes of records after which a writer begins a new object.
+TASK_BYTES, TASK_OBJECTS, ROLL_BYTES = 128 << 20, 256, 256 << 20
+
+
+def packed(store, files: list[str]) -> list[Part]:
+    """Objects in turn, so many to a task."""
+    out, size = [], 0
+    for info in store.get_file_info(files) if files else []:
+        if not out or size + info.size > TASK_BYTES or len(out[-1]) >= TASK_OBJECTS:
+            out.append([])
+            size = 0
+        out[-1].append(info.path)
+        size += info.size
+    return [Part(f) for f in out]
+
+
+class SegmentReader(SegmentScan, DataSourceReader):
+    def partitions(self):
+        return packed(store_of(self.path)[0], object_files(self.path))
+
+
+class SegmentStream(SegmentScan, DataSourceStreamReader):
+    """Objects as they are committed: an offset is the number of commits seen, so nothing is read twice or left out."""
+
+    def initialOffset(self):
+        return {"commits": 0}
+
+    def latestOffset(self):
+        return {"commits": len(commits(self.path))}
+
+    def partitions(self, start, end):
+        store, base = store_of(self.path)
+        return packed(store, [f"{base}/{f}" for c in commits(self.path)[start["commits"] : end["commits"]] for f in c])
+
+    def commit(self, end):
+        pass
+
+
+def commits(path: str) -> list[list[str]]:
+    """The names of the objects of each commit, in order."""
+    from pyarrow import fs
+
+    store, base = store_of(path)
+    info = store.get_file_info(fs.FileSelector(f"{base}/_commits", allow_not_found=True))
+    return [json.loads(store.open_input_stream(p).readall()) for p in sorted(f.path for f in info if f.path.endswith(".json"))]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    file: str | None
+    files: list[str]
 
 
 class SegmentWriter(DataSourceWriter):
-    """An object for each task; it gets its name at the end, so that a task that dies leaves no readable file."""
+    """Objects of about ROLL_BYTES for each task; they get their names at the end, so that a task that dies leaves no readable file, and
+    all of a write's are listed in one commit."""
 
     def __init__(self, path: str):
         self.path = path
@@ -225,47 +279,63 @@ class SegmentWriter(DataSourceWriter):
         import uuid
 
         store, base = store_of(self.path)
-        groups: dict = {}
-        ingest = 0
-        for r in rows:
-            groups.setdefault((r.topic_id, r.schema_id), []).append((None if r.key is None else bytes(r.key), bytes(r.value)))
-            ingest = max(ingest, r.ingest_us)
-        if not groups:
-            return Written(None)
-        w = ObjectWriter()
-        for (topic, schema), records in sorted(groups.items()):
-            w.add(topic, schema, records, ingest)
         store.create_dir(base, recursive=True)
-        name = f"{base}/{ingest // 1000}-{uuid.uuid4().hex}"
-        with store.open_output_stream(name + ".part") as f:
-            f.write(w.finish())
-        return Written(name)
+        groups, ingest, held, names = {}, 0, 0, []
+
+        def close():
+            w = ObjectWriter()
+            for (topic, schema), records in sorted(groups.items()):
+                w.add(topic, schema, records, ingest)
+            name = f"{base}/{ingest // 1000}-{uuid.uuid4().hex}"
+            with store.open_output_stream(name + ".part") as f:
+                f.write(w.finish())
+            names.append(name)
+
+        for r in rows:
+            record = None if r.key is None else bytes(r.key), bytes(r.value)
+            groups.setdefault((r.topic_id, r.schema_id), []).append(record)
+            ingest, held = max(ingest, r.ingest_us), held + len(record[0] or b"") + len(record[1]) + 4
+            if held >= ROLL_BYTES:
+                close()
+                groups, ingest, held = {}, 0, 0
+        if groups:
+            close()
+        return Written(names)
 
     def commit(self, messages):
-        store, _ = store_of(self.path)
-        for m in messages:
-            if m is not None and m.file:
-                store.move(m.file + ".part", m.file + ".fl")
+        store, base = store_of(self.path)
+        names = sorted(f for m in messages if m is not None for f in m.files)
+        for f in names:
+            store.move(f + ".part", f + ".fl")
+        if names:
+            store.create_dir(f"{base}/_commits", recursive=True)
+            number = f"{base}/_commits/{len(commits(self.path)):010d}"
+            with store.open_output_stream(number + ".part") as f:
+                f.write(json.dumps([n.rsplit("/", 1)[1] + ".fl" for n in names]).encode())
+            store.move(number + ".part", number + ".json")
 
     def abort(self, messages):
         store, _ = store_of(self.path)
         for m in messages:
-            if m is not None and m.file:
-                store.delete_file(m.file + ".part")
+            for f in m.files if m is not None else []:
+                store.delete_file(f + ".part")
 
 
 class SegmentLog(DataSource):
-    """format("seglog"): load(path) gives records, save(path) writes topic_id, schema_id, ingest_us, key, value."""
+    """format("seglog"): load(path) gives records, save(path) writes topic_id, schema_id, ingest_us, key, value; readStream follows the commits."""
 
     @classmethod
     def name(cls):
         return "seglog"
 
     def schema(self):
-        return "topic_id long, schema_id long, file string, byte_offset long, position long, ingest_us long, key binary, value binary"
+        return COLUMNS
 
     def reader(self, schema):
-        return SegmentReader(self.options["path"], self.options.get("verify", "true") == "true")
+        return SegmentReader(self.options)
+
+    def streamReader(self, schema):
+        return SegmentStream(self.options)
 
     def writer(self, schema, overwrite):
         return SegmentWriter(self.options["path"])
@@ -273,4 +343,42 @@ class SegmentLog(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(SegmentLog)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+class ObjectStore:
+    """Objects below a path, on any file system that pyarrow opens (local, s3://, hdfs://, ...)."""
+
+    def __init__(self, path: str):
+        self.store, self.base = store_of(path)
+
+    def put(self, key: str, data: bytes) -> None:
+        at = f"{self.base}/{key}"
+        self.store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with self.store.open_output_stream(at) as f:
+            f.write(data)
+
+    def get(self, key: str) -> bytes:
+        with self.store.open_input_file(f"{self.base}/{key}") as f:
+            return f.read()
+
+    def get_range(self, key: str, start: int, length: int) -> bytes:
+        """Bytes [start, start + length); a range that isn't inside the object is an error."""
+        with self.store.open_input_file(f"{self.base}/{key}") as f:
+            if start < 0 or length < 0 or start + length > f.size():
+                raise ValueError(f"invalid range {start}+{length} of {key} with {f.size()} bytes")
+            return f.read_at(length, start)
+
+    def size(self, key: str) -> int:
+        with self.store.open_input_file(f"{self.base}/{key}") as f:
+            return f.size()
+
+    def delete(self, key: str) -> None:
+        self.store.delete_file(f"{self.base}/{key}")
+
+    def list(self, prefix: str = "") -> list[str]:
+        """Keys that begin with the prefix, in order."""
+        from pyarrow import fs
+
+        info = self.store.get_file_info(fs.FileSelector(self.base, recursive=True, allow_not_found=True))
+        keys = (f.path.removeprefix(self.base.rstrip("/") + "/") for f in info if f.is_file)
+        return sorted(k for k in keys if k.startswith(prefix))
