@@ -1,5 +1,7 @@
 """Streams give what batches give."""
 
+import time
+
 from tidelog.operators.append import classified
 from tidelog.plans.logmodel import LogModel
 from tidelog.streaming.dedup import committed, dedup_stream, idempotent_sink
@@ -134,3 +136,91 @@ def test_catch_up_is_idempotent(spark, tmp_path):
     table.store.delete(f"_manifest/{name}.json")  # and one that died before it
     assert go(40) == 0 and table.read().count() < 50 and go(1 << 40) == 1 and table.read().count() == 50
     assert all(c["status"] == "completed" for c in claims.all().values()) and json.dumps(claims.all())
+
+
+def test_flushes_are_idempotent_and_gap_free(spark, tmp_path):
+    from tidelog.streaming.ingest import flushed, flushes
+
+    schema = "topic_id long, flush_id long, schema_id long, event_id long, size long, ts_us long, key string, value string"
+    batch = lambda f, n: spark.createDataFrame([(k % 2, f, 100, 100 * f + k, 5, f, None, "v") for k in range(n)], schema)
+    write = flushes(str(tmp_path))
+    assert flushed(spark, str(tmp_path)).count() == 0
+    for b, (f, n) in enumerate(((0, 10), (1, 4), (1, 4), (2, 7))):
+        write(batch(f, n), {0: 0, 1: 1, 2: 1, 3: 2}[b])  # batch 1 comes twice
+    spark.range(1).write.parquet(str(tmp_path / "records/3"))  # a batch that died before its commit
+    got = sorted((r["topic_id"], r["start_offset"], r["end_offset"]) for r in flushed(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 5), (0, 5, 7), (0, 7, 11), (1, 0, 5), (1, 5, 7), (1, 7, 10)] and flushed(spark, str(tmp_path), "records").count() == 21
+
+
+def test_consume_goes_on_and_metrics_count(spark, tmp_path):
+    from tidelog.sources import avro, seglog
+    from tidelog.streaming.ingest import Metrics, consume, drain
+
+    seglog.register(spark)
+    log, schema, seen, metrics = str(tmp_path / "log"), '{"type":"record","name":"R","fields":[{"name":"n","type":"long"}]}', [], Metrics()
+    spark.streams.addListener(metrics)
+
+    def write(low, high):
+        rows = spark.range(low, high).selectExpr("id % 2 AS topic_id", "100L AS schema_id", "id AS ingest_us", "CAST(NULL AS BINARY) AS key", "id AS n").repartition(1)
+        avro.encode_column(rows, schema, "value").drop("n").write.format("seglog").mode("append").save(log)
+
+    for low in (0, 10):
+        write(low, low + 10)
+        consume(spark, log, 1, schema, lambda df: seen.extend(r["n"] for r in df.collect()), str(tmp_path / "c")).awaitTermination()
+    assert sorted(seen) == list(range(1, 20, 2))
+    q = consume(spark, log, 0, schema, lambda df: seen.extend(r["n"] for r in df.collect()), str(tmp_path / "d"), processingTime="1 second")
+    assert drain(q) and sorted(seen) == list(range(20)) and not q.isActive
+    spark.streams.removeListener(metrics)
+    own = Metrics()
+    for ms in (3, 30, 99_999):
+        own.observe(5, ms)
+    assert 'le="5"} 1' in own.text() and 'le="50"} 2' in own.text() and 'le="+Inf"} 3' in own.text() and "rows_total 15" in own.text()
+
+
+def test_retries_keep_the_request():
+    import pytest
+
+    from tidelog.operators.pressure import PushedBack, retry_delays, with_retries
+
+    slept, got = [], []
+
+    def send(request):
+        got.append(request)
+        if len(got) < 4:
+            raise PushedBack
+        return "ok"
+
+    assert with_retries(send, ("w", 7), slept.append) == "ok" and slept == [0.1, 0.2, 0.4] and set(got) == {("w", 7)} and max(retry_delays(12)) == 10
+    with pytest.raises(KeyError):
+        with_retries({}.__getitem__, 1, slept.append)
+
+
+def test_dedup_forgets_after_its_time_and_unknown_topics_are_errors(spark, tmp_path):
+    import pytest
+
+    from tidelog.operators import append, catalog
+    from tidelog.sources import avro
+
+    df = spark.createDataFrame([(1, 1, 5, 0), (2, 1, 5, 0), (3, 2, 1, 0)], "arrival long, writer_id long, append_seq long, flush_id long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = []
+    q = dedup_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ttl_ms=86_400_000).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda batch, _: told.extend(r["decision"] for r in batch.collect())).start()
+    for _ in range(100):  # with a time to live, batches without data follow each other for ever
+        if len(told) == 3:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert sorted(told) == ["ACCEPT", "ACCEPT", "DUPLICATE"]
+    topics = spark.createDataFrame([(1, "a")], "topic_id long, topic string")
+    names = spark.createDataFrame([("a",), ("zz",)], "ref string")
+    assert catalog.resolved(names, topics).where("topic_id IS NULL").count() == 1
+    with pytest.raises(Exception, match="no topic zz"):
+        catalog.resolved(names, topics, strict=True).collect()
+    state = spark.createDataFrame([(1, 9, 0, 1, True)], "writer_id long, last_seq long, last_start long, last_end long, failed boolean")
+    assert {o: [r["decision"] for r in append.answered(df.where("writer_id = 1"), state, o).collect()] for o in (True, False)} == {True: ["ACCEPT"] * 2, False: ["ERROR"] * 2}
+    (tmp_path / "s").mkdir()
+    schema, out = '{"type":"record","name":"U","fields":[{"name":"id","type":"long"}]}', bytearray()
+    for i in range(3):
+        avro.encode(avro.parse(schema), {"id": i}, out)
+    (tmp_path / "s/x.bin").write_bytes(bytes(out))
+    assert [r["id"] for r in avro.streams(spark, str(tmp_path / "s"), schema).collect()] == [0, 1, 2]

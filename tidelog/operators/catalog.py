@@ -18,12 +18,50 @@ def latest_schema(topic_schemas: DataFrame) -> DataFrame:
     return top.select("topic_id", "s.schema_id")
 
 
-def resolved(names: DataFrame, topics: DataFrame) -> DataFrame:
-    """ref, topic_id: a reference is a topic's name, or its number as text; null if there is none."""
+def latest_schema_text(topic_schemas: DataFrame, schemas: DataFrame) -> DataFrame:
+    """topic_id, schema_id, schema_json of the newest schema of each topic. schemas: schema_id, schema_json."""
+    return latest_schema(topic_schemas).join(schemas, "schema_id").select("topic_id", "schema_id", "schema_json")
+
+
+def resolved(names: DataFrame, topics: DataFrame, strict: bool = False) -> DataFrame:
+    """ref, topic_id: a reference is a topic's name, or its number as text; null if there is none, or an error if strict."""
     by_name = names.join(topics, names["ref"] == topics["topic"], "left").select("ref", "topic_id")
     number = F.expr("try_cast(ref AS bigint)")
     ids = topics.select(F.col("topic_id").alias("known"))
-    return by_name.join(ids, number == F.col("known"), "left").select("ref", F.coalesce("topic_id", "known").alias("topic_id"))
+    return by_name.join(ids, number == F.col("known"), "left").select("ref", F.coalesce("topic_id", "known", *([F.raise_error(F.concat(F.lit("no topic "), "ref")).cast("long")] if strict else [])).alias("topic_id"))
+
+
+def by_day(index: DataFrame) -> DataFrame:
+    """index with ingest_date: the column to partition its table by, so that retention drops whole days."""
+    return index.withColumn("ingest_date", F.to_date(F.timestamp_micros("ingest_us")))
+
+
+ACL = ["principal", "resource_type", "resource_name", "operation"]
+
+
+def acl_upsert(acls: DataFrame, new: DataFrame) -> DataFrame:
+    """acls after entries were created; one that is there takes the new permission. new has one row for each entry."""
+    return acls.join(new.select(*ACL), ACL, "left_anti").unionByName(new)
+
+
+def acl_delete(acls: DataFrame, principal: str | None = None, resource_type: str | None = None, resource_name: str | None = None, operation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries that stay, entries that go): those that equal all that is given go."""
+    gone = F.lit(True)
+    for c, v in zip(ACL, (principal, resource_type, resource_name, operation), strict=True):
+        gone = gone & (F.col(c) == v) if v is not None else gone
+    return acls.where(~gone), acls.where(gone)
+
+
+def keys_validated(presented: DataFrame, keys: DataFrame, now_us: int) -> DataFrame:
+    """api_key, status, principal: a presented key is looked up by the id in its text among keys (key_id, principal, expires_us, revoked_us)."""
+    rows = presented.select("api_key", F.regexp_extract("api_key", "^tb_([0-9a-f]{32})_.+$", 1).alias("key_id")).join(keys, "key_id", "left")
+    status = F.when(F.col("key_id") == "", "MALFORMED").when(F.col("principal").isNull(), "UNKNOWN").when(F.col("revoked_us").isNotNull(), "REVOKED").when(F.col("expires_us") <= now_us, "EXPIRED").otherwise("VALID")
+    return rows.withColumn("status", status).select("api_key", "status", F.when(F.col("status") == "VALID", F.col("principal")).alias("principal"))
+
+
+def key_revoked(keys: DataFrame, key_id: str, now_us: int) -> DataFrame:
+    """keys after one was revoked; a key revoked before keeps its time."""
+    return keys.withColumn("revoked_us", F.when((F.col("key_id") == key_id) & F.col("revoked_us").isNull(), F.lit(now_us).cast("long")).otherwise(F.col("revoked_us")))
 
 
 def updated(topics: DataFrame, changes: DataFrame) -> DataFrame:

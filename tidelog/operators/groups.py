@@ -117,6 +117,12 @@ def member_counts(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(n, "group_id", "left").select("group_id", "topic_id", F.coalesce("n", F.lit(0)).alias("member_count"))
 
 
+def detail(members: DataFrame, inflight: DataFrame) -> DataFrame:
+    """group_id, reader_id, heartbeat_us, n_leases, low_offset of every member."""
+    held = inflight.groupBy("group_id", "reader_id").agg(F.count("*").alias("n"), F.min("start_offset").alias("low_offset"))
+    return members.join(held, ["group_id", "reader_id"], "left").select("group_id", "reader_id", "heartbeat_us", F.coalesce("n", F.lit(0)).alias("n_leases"), "low_offset")
+
+
 def cursor_lag(cursors: DataFrame, watermarks: DataFrame) -> DataFrame:
     """Cursor beside the high watermark of its topic (0 if it has none), and whether a poll would find anything."""
     both = cursors.join(watermarks, "topic_id", "left").withColumn("high_watermark", F.coalesce("high_watermark", F.lit(0)).cast("long"))

@@ -176,6 +176,19 @@ SQL = {
     "catchup_grouping": "SELECT flush_id, count(*) AS n_segments, CAST(sum(byte_length) AS BIGINT) AS bytes, string_agg(CAST(batch_id AS VARCHAR), ',' ORDER BY batch_id) AS batch_ids FROM idx WHERE batch_id NOT IN (SELECT batch_id FROM claims) GROUP BY 1",
     "sink_flush_victim": "WITH s AS (SELECT topic_id, CAST(sum(byte_length) AS BIGINT) AS bytes FROM idx GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, topic_id) AS flush_no, sum(bytes) OVER (ORDER BY bytes DESC, topic_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS held FROM s) SELECT topic_id, bytes, flush_no FROM o WHERE held > 100000",
     "sink_projection": "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) ELSE o_totalprice END AS total, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS priority, o_orderkey AS _offset, 1 AS _partition_id, epoch_us(o_orderdate) AS _ingest_time, CAST(o_custkey AS VARCHAR) AS _key FROM orders",
+    "flush_due": "WITH b AS (SELECT topic_id, CAST(sum(size) AS BIGINT) AS bytes, min(ts_us) AS oldest_us FROM log GROUP BY 1) SELECT b.*, CASE WHEN bytes >= 40000 THEN 'SIZE' WHEN now_us - oldest_us >= 60000000 THEN 'AGE' END AS due FROM b, now",
+    "backpressure": """WITH l AS (SELECT topic_id, flush_id * 10 + schema_id - 100 AS step, byte_length * (flush_id % 11) AS bytes, flush_id % 4 = 0 AS flushed FROM idx),
+        t AS (SELECT *, max(CASE WHEN bytes >= 1500 THEN step END) OVER w AS up, max(CASE WHEN flushed AND bytes <= 400 THEN step END) OVER w AS down FROM l WINDOW w AS (PARTITION BY topic_id ORDER BY step))
+        SELECT topic_id, step, bytes, flushed, coalesce(up, -1) > coalesce(down, -1) AS pushing FROM t""",
+    "writer_evictions": "WITH f AS (SELECT writer_id, row_number() OVER (ORDER BY min(event_id)) AS i, count(*) OVER () AS n FROM log GROUP BY 1) SELECT writer_id FROM f WHERE i <= n - 10",
+    "latest_schema_text": "SELECT topic_id, schema_id, 'version ' || schema_id AS schema_json FROM tschemas QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY created_us DESC, schema_id DESC) = 1",
+    "group_detail": "SELECT group_id, reader_id, heartbeat_us, (SELECT count(*) FROM inflight i WHERE i.reader_id = m.reader_id) AS n_leases, (SELECT min(start_offset) FROM inflight i WHERE i.reader_id = m.reader_id) AS low_offset FROM members m",
+    "index_by_day": "SELECT CAST(make_timestamp(ingest_us) AS DATE) AS ingest_date, count(*) AS n, CAST(sum(byte_length) AS BIGINT) AS bytes FROM idx GROUP BY 1",
+    "tail_avro": "SELECT o_orderkey AS at, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS status, o_orderkey % 10 = 0 AS broken FROM orders",
+    "acl_upsert": "SELECT principal, resource_type, resource_name, operation, CASE WHEN resource_name = '*' THEN permission WHEN permission = 'deny' THEN 'allow' ELSE 'deny' END AS permission FROM acls",
+    "acl_delete": "SELECT * FROM acls WHERE NOT (principal = 'user:building' AND operation = 'append')",
+    "api_key_lookup": """WITH k AS (SELECT c_custkey, md5(c_name) AS h FROM customer) SELECT CASE WHEN c_custkey % 10 = 0 THEN 'bad_' || h ELSE 'tb_' || h || '_secret' END AS api_key, s.status, CASE WHEN s.status = 'VALID' THEN 'user:' || c_custkey END AS principal
+        FROM k, LATERAL (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'MALFORMED' WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' WHEN c_custkey % 7 = 0 THEN 'REVOKED' WHEN c_custkey % 5 * 100 <= 200 THEN 'EXPIRED' ELSE 'VALID' END AS status) s""",
     "sink_write_segments": "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) ELSE o_totalprice END AS total, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE o_orderpriority END AS priority, 1 AS _partition_id, CAST(o_custkey AS VARCHAR) AS _key FROM orders",
     "sink_offsets": "SELECT 1 AS _partition_id, count(*) AS n, 0 AS low, count(*) - 1 AS high, count(*) AS n_offsets FROM orders",
     "segment_roundtrip": "SELECT topic_id, schema_id, key, value FROM log",

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
-from tidelog.operators import append, catalog, groups, groupstate, invariants, readpath, sink, tablesink
+from tidelog.operators import append, catalog, groups, groupstate, invariants, pressure, readpath, sink, tablesink
 from tidelog.operators.registry import Registry, RegistryError
-from tidelog.operators.tables import shared_folder
+from tidelog.operators.tables import cut, shared_folder
 from tidelog.plans.logmodel import LEASE_US, MAX_INFLIGHT, SESSION_US, LogModel
 from tidelog.sources import avro, seglog
 
@@ -371,6 +371,11 @@ def group_state(m):
     return groupstate.State(m.members, m.inflight, m.cursors)
 
 
+def cut_state(m):
+    """The state as tables of its own, as a service would hold it."""
+    return groupstate.State(cut(m.members), cut(m.inflight), cut(m.cursors))
+
+
 def at_last(m) -> int:
     return m.now_us.first()["now_us"] or 0
 
@@ -391,9 +396,9 @@ def poll_decision(m):
     """A poll for each topic where no lease has expired, where all may have, and with a limit of ten leases; topic 1 is asked for by no member."""
     reader = F.when(F.col("topic_id") == 1, "r9").otherwise(F.concat(F.lit("r"), (F.col("topic_id") % 3).cast("string")))
     asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", reader.alias("reader_id"))
-    out = None
+    state, index, out = cut_state(m), cut(m.index), None
     for name, now, most in (("fresh", 0, 1 << 30), ("steal", at_last(m), 1 << 30), ("limited", at_last(m), MAX_INFLIGHT)):
-        _, answer = groupstate.poll(group_state(m), m.index, asked, now, 4096, LEASE_US, most)
+        _, answer = groupstate.poll(state, index, asked, now, 4096, LEASE_US, most)
         answer = answer.withColumn("scenario", F.lit(name))
         out = answer if out is None else out.unionByName(answer)
     return out.drop("group_id")
@@ -403,14 +408,14 @@ def poll_decision(m):
 def poll_state(m):
     """The state after a fresh poll by r0 for each topic."""
     asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", F.lit("r0").alias("reader_id"))
-    return groupstate.poll(group_state(m), m.index, asked, 0, 4096, LEASE_US, 1 << 30)[0].summary()
+    return groupstate.poll(cut_state(m), cut(m.index), asked, 0, 4096, LEASE_US, 1 << 30)[0].summary()
 
 
 @query
 def poll_after_leave(m):
     """r0 leaves, r1 polls: what is dealt out again ends where a lease of another reader begins."""
     asked = m.topics.select(F.lit("g1").alias("group_id"), "topic_id", F.lit("r1").alias("reader_id"))
-    return groupstate.poll(groupstate.leave(group_state(m), readers(m, "r0")), m.index, asked, 0, 1 << 40, LEASE_US, 1 << 30)[1].drop("group_id")
+    return groupstate.poll(groupstate.leave(cut_state(m), readers(m, "r0")), cut(m.index), asked, 0, 1 << 40, LEASE_US, 1 << 30)[1].drop("group_id")
 
 
 @query
@@ -617,9 +622,78 @@ def schema_compat_matrix(m):
     return rows(m, "new_version long, old_version long, compatible boolean", *pairs)
 
 
+# buffers
+
+
+@query
+def flush_due(m):
+    """What each topic has buffered of the last flushes, and whether size or age makes it due."""
+    buffers = m.log.groupBy("topic_id").agg(F.sum("size").alias("bytes"), F.min("ts_us").alias("oldest_us"))
+    return pressure.flush_due(buffers, m.now_us, 40_000, 60_000_000)
+
+
+@query
+def backpressure(m):
+    """Levels of each topic's buffer: its segments come in, every fourth flush takes most of it out."""
+    seg = m.index.withColumn("bytes", F.expr("byte_length * (flush_id % 11)")).withColumn("flushed", F.expr("flush_id % 4 = 0"))
+    rows = seg.select("topic_id", F.expr("flush_id * 10 + schema_id - 100").alias("step"), "bytes", "flushed")
+    return pressure.backpressure(rows, 1_500, 400, "topic_id")
+
+
+@query
+def writer_evictions(m):
+    first = m.log.groupBy("writer_id").agg(F.min("event_id").alias("inserted"))
+    return pressure.evicted(first, 10)
+
+
+@query
+def latest_schema_text(m):
+    schemas = topic_schemas(m).select("schema_id", F.concat(F.lit("version "), F.col("schema_id").cast("string")).alias("schema_json")).distinct()
+    return catalog.latest_schema_text(topic_schemas(m), schemas)
+
+
+@query
+def group_detail(m):
+    return groups.detail(m.members, m.inflight)
+
+
+@query
+def index_by_day(m):
+    return catalog.by_day(m.index).groupBy("ingest_date").agg(F.count("*").alias("n"), F.sum("byte_length").alias("bytes"))
+
+
+@query
+def tail_avro(m):
+    """Orders as Avro datums shown as JSON; every tenth is broken and shown as it is."""
+    o = m.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    coded = avro.encode_column(o, ORDER, "datum").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.lit("?").cast("binary")).otherwise(F.col("datum")).alias("datum"))
+    shown = avro.displayed(coded.withColumnRenamed("o_orderkey", "at"), "datum", ORDER)
+    return shown.select("at", F.get_json_object("display", "$.o_orderstatus").alias("status"), (F.col("display") == "?").alias("broken"))
+
+
 # access control
 
 
+@query
+def acl_upsert(m):
+    """Every named entry is created again, with the other permission."""
+    acls = acl_tables(m)[1]
+    return catalog.acl_upsert(acls, acls.where("resource_name <> '*'").withColumn("permission", F.when(F.col("permission") == "deny", "allow").otherwise("deny")))
+
+
+@query
+def acl_delete(m):
+    return catalog.acl_delete(acl_tables(m)[1], principal="user:building", operation="append")[0]
+
+
+@query
+def api_key_lookup(m):
+    c = m.table("customer").select("c_custkey", F.md5("c_name").alias("h"))
+    presented = c.select(F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("bad_"), "h")).otherwise(F.concat(F.lit("tb_"), "h", F.lit("_secret"))).alias("api_key"))
+    keys = c.where("c_custkey % 3 > 0").select(F.col("h").alias("key_id"), F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("principal"), (F.col("c_custkey") % 5 * 100).alias("expires_us"), F.when(F.col("c_custkey") % 7 == 0, F.lit(5).cast("long")).alias("revoked_us"))
+    return catalog.keys_validated(presented, keys, 200)
+
+
 def acl_tables(m):
     seg = m.table("customer").select(F.col("c_custkey"), F.concat(F.lit("user:"), F.lower("c_mktsegment")).alias("principal"), F.col("c_nationkey"))
     nation = m.table("nation").select(F.col("n_nationkey"), F.col("n_name"))

@@ -17,11 +17,11 @@ class WriterDedup(StatefulProcessor):
     if a larger number of the writer arrives later in the same flush.
     """
 
-    def __init__(self, pipelined: bool = False):
-        self.pipelined = pipelined
+    def __init__(self, pipelined: bool = False, ttl_ms: int | None = None):
+        self.pipelined, self.ttl_ms = pipelined, ttl_ms
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "seq long")
+        self.last = handle.getValueState("last", "seq long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("arrival", ignore_index=True)
@@ -44,9 +44,10 @@ class WriterDedup(StatefulProcessor):
         pass
 
 
-def dedup_stream(arrivals: DataFrame, pipelined: bool = False) -> DataFrame:
-    """The streaming twin of operators.append.classified; needs the RocksDB state store."""
-    return arrivals.groupBy("writer_id").transformWithStateInPandas(WriterDedup(pipelined), "arrival long, writer_id long, append_seq long, decision string", "Append", "None")
+def dedup_stream(arrivals: DataFrame, pipelined: bool = False, ttl_ms: int | None = None) -> DataFrame:
+    """The streaming twin of operators.append.classified; needs the RocksDB state store. ttl_ms: a writer not heard of for so long is
+    forgotten, which bounds the state."""
+    return arrivals.groupBy("writer_id").transformWithStateInPandas(WriterDedup(pipelined, ttl_ms), "arrival long, writer_id long, append_seq long, decision string", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def idempotent_sink(path: str, project: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
@@ -66,6 +67,8 @@ def committed(spark, path: str) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [str(s.getPath()) for s in fs.listStatus(jpath) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))]
+    if not done:
+        raise ValueError(f"no batch of {path} has been written to the end")
     return spark.read.option("basePath", path).parquet(*done)
 
 
