@@ -40,7 +40,8 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.find, self.mark = re.compile("|".join(map(re.escape, added)) or "(?!)").search, os.path.commonprefix(added)
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.letters = byte_letters()
@@ -53,6 +54,10 @@ class WordBPE:
         got = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return got
 
+    def added(self, text: str) -> bool:
+        """Whether the text has an added token."""
+        return self.mark in text and self.find(text) is not None
+
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         if PLAIN(text) and not self.added(text):
