@@ -32,6 +32,21 @@ def test_all_queries_but_the_crc_have_sql():
     assert set(QUERIES) - set(ORACLE) == {"segment_crc"}
 
 
+def test_latency_quantiles_of_many_rows_nulls_and_ties(spark, duck, tmp_path):
+    """Ranks next to each other differ, in groups of more rows than a sketch keeps."""
+    n = 400_000
+    kind = "CASE WHEN id % 1000 = 7 THEN NULL WHEN id % 1000 = 8 THEN 'none' WHEN id < 9 THEN 'few' WHEN id % 2 = 0 THEN 'ties' ELSE 'many' END"
+    value = "CASE WHEN id % 1000 = 8 OR id % 11 = 3 THEN NULL WHEN id % 2 = 0 THEN id % 5 WHEN id = 101 THEN double('nan') ELSE (id * 48271 % 1000003) / 4.0 - 9 END"
+    spark.range(n).selectExpr("id AS event_id", f"{kind} AS event_type", f"CAST({value} AS double) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cols = ["event_type", "n", "p50", "p99", "p999"]
+    got = QUERIES["latency_quantiles"](spark, str(tmp_path)).select(*cols).collect()
+    want = con.sql(ORACLE["latency_quantiles"]).select(*cols).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert len(want) == 5
+
+
 def test_segment_crc(spark):
     import zlib
 
