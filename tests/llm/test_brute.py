@@ -1,6 +1,7 @@
 """The operators against plain versions on small inputs."""
 
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -381,6 +382,55 @@ def test_lm_scores_mix_in_the_counts_of_all_training_texts(spark, sf, docs, monk
     assert math.isclose(sum(10 ** score([i], pairs([i])) for i in range(0, coder.vocabulary)), 1, rel_tol=1e-3)
 
 
+def test_lm_query_counts_every_long_context(spark, tmp_path):
+    """Of a text that occurs twice every id after the first few is known from the other one, not one of some."""
+    rng = np.random.default_rng(5)
+    once = {i: " ".join(map(str, rng.integers(10**5, 10**6, 60))) for i in range(40)}
+    train = [i for i in once if zlib.crc32(str(i).encode()) % 5 != 1]
+    twice = {**once, train[1]: once[train[0]]}
+    spark.createDataFrame(sorted(twice.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] / (7 * 60 + 1) for r in lm_scoring.query(spark, str(tmp_path)).collect()}
+    copies = [got.pop(i) for i in train[:2]]
+    assert math.isclose(*copies, rel_tol=1e-6) and copies[0] > -0.4 and max(got.values()) < -0.6
+
+
+@given(st.lists(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=30), min_size=1, max_size=4), min_size=1, max_size=3), st.integers(0, 2**12), st.integers(1, 5))
+def test_lm_long_counts_equal_dictionaries(chunks, which, shards):
+    """c, n, t of all places with a context of four ids, each training text's own part left out; over chunks and shards."""
+    helds, at, laid = [], 0, []
+    for texts in chunks:
+        helds.append(np.array([which >> (at + i) & 1 == 1 for i in range(len(texts))]))
+        at += len(texts)
+        laid.append(attention_lm.laid_out(texts))
+    sent = [lm_scoring.of_long(t, n, h, 9, shards, 1) for (t, n), h in zip(laid, helds, strict=True)]
+    back = [{} for _ in chunks]
+    for k in {k for x in sent for k in x}:
+        there = [i for i, x in enumerate(sent) if k in x]
+        for i, data in zip(there, lm_scoring.long_sums([sent[i][k] for i in there]), strict=True):
+            back[i][k] = data
+    rows = lambda x: [(tuple([9, *x][i - 3 : i + 1]), x[i]) for i in range(3, len(x))]
+    all_rows = [(j, i, r) for j, texts in enumerate(chunks) for i, x in enumerate(texts) if not helds[j][i] for r in rows(x)]
+    for j, texts in enumerate(chunks):
+        targets, lengths = laid[j]
+        found = lm_scoring.long_contexts(attention_lm.inputs(targets, lengths, 9), targets, lengths, shards, 1)
+        counts = np.concatenate([np.zeros((3, 0), np.int64), *(lm_scoring.long_counts(back[j][k]) for k in sorted(back[j]))], axis=1)
+        got = np.stack(lm_scoring.long_levels(found, len(targets), helds[j], counts), axis=1)
+        want = []
+        for i, x in enumerate(texts):
+            rest = Counter(r for b, a, r in all_rows if (b, a) != (j, i))
+            after = {g: [k for k in rest if k[0] == g] for g, _ in rows(x)}
+            want += [(0, 0, 1)] * min(3, len(x)) + [(rest[r], sum(rest[k] for k in after[r[0]]), max(1, len(after[r[0]]))) for r in rows(x)]
+        assert got.tolist() == [list(map(float, w)) for w in want]
+
+
+def test_lm_is_trained_on_every_window_of_the_training_texts():
+    assert inspect.signature(lm_scoring.lm_scores).parameters["every"].default == 1
+    lengths, held = np.array([1, 24, 25, 3000, 100]), np.array([False, False, True, False, False])
+    targets = np.arange(lengths.sum())
+    got = np.concatenate([t[v] for _, _, t, v in lm_scoring.windows(targets, lengths, held, 9, 1, 7)])
+    assert sorted(got.tolist()) == targets[np.repeat(~held, lengths)].tolist()
+
+
 def test_attention_model_is_causal_normalised_and_learns():
     rng = np.random.default_rng(2)
     counts = rng.integers(1, 50, 300)
