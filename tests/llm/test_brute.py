@@ -4,8 +4,10 @@ import hashlib
 import inspect
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -423,6 +425,37 @@ def test_lm_long_counts_equal_dictionaries(chunks, which, shards):
         assert got.tolist() == [list(map(float, w)) for w in want]
 
 
+def test_lm_sends_each_long_context_in_one_of_several_rounds(spark, sf, monkeypatch):
+    """No shuffle holds all long contexts, the rounds together do, and of the shuffles nothing lies on disk when the query returns."""
+    def on_disk():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p.name for d in dirs for p in Path(str(d)).glob("*/shuffle_*.data")}
+
+    rng, seen, before = np.random.default_rng(3), [], on_disk()
+    table = lm_scoring.long_table
+    monkeypatch.setattr(lm_scoring, "long_table", lambda *x: seen.append(x) or table(*x))
+    df = lm_scoring.query(spark, sf)
+    for _ in range(50):  # files go shortly after their action
+        if on_disk() - before:
+            time.sleep(0.1)
+    assert not on_disk() - before
+    assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    targets, lengths = attention_lm.laid_out([rng.integers(0, 9, 5000)])
+    shards, within = seen[0][2], [x[4] for x in seen]
+    send = lambda *w: lm_scoring.of_long(targets, lengths, np.array([False]), 9, shards, 1, *w)
+    every, parts = send(), [send(w) for w in within]
+    assert len(parts) > 1 and sum(map(len, parts)) == len(every) == len({k for p in parts for k in p}) and {k: v for p in parts for k, v in p.items()} == every
+    assert max(sum(map(len, p.values())) for p in parts) < 0.5 * sum(map(len, every.values()))
+
+
+@pytest.mark.parametrize("bits", [30, 48, 56, 64])
+def test_lm_order_of_contexts_is_by_context_id_and_place(bits):
+    rng = np.random.default_rng(bits)
+    contexts, ids = (rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(bits - 6)) + np.uint64(7), rng.integers(0, 50_000, 3000) // 1000 * 1000
+    assert lm_scoring.ordered(contexts, ids).tolist() == np.lexsort((np.arange(3000), ids, contexts)).tolist()
+    assert lm_scoring.ordered(contexts[:0], ids[:0]).tolist() == []
+
+
 def test_lm_is_trained_on_every_window_of_the_training_texts():
     assert inspect.signature(lm_scoring.lm_scores).parameters["every"].default == 1
     lengths, held = np.array([1, 24, 25, 3000, 100]), np.array([False, False, True, False, False])
